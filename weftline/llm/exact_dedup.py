@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from .shared import Scratch, table
 #: Whitespace that normalisation deletes: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 MAX_DEPTH = 16
-_SPAN = 2**64
+_SPAN = Decimal(2**64)
 
 
 def normalised(text):

@@ -25,6 +25,7 @@ import numpy as np
 BLOCK = 4096
 LANES = 1024
 EVERY = 16
+MAGIC = b"WIDC\x01\x00\x00\x00"
 NONE = 0xFFFF  # no prediction; ids are below it
 _T2, _T1 = 4096, 1024  # slots of the prediction tables
 _CLASSES = 17  # bit lengths of ids below 65,536
