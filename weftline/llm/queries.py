@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, token_files, warc
+from . import decontam, exact_dedup, packing, pii, quality, token_files, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op7_token_files": token_files.op7_token_files,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
+    "op10_decontam": decontam.op10_decontam,
 }
 
 ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE}
