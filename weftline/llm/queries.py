@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, packing, pii, quality, token_files, warc
+from . import decontam, exact_dedup, line_dedup, near_dedup, packing, pii, quality, token_files, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
