@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, line_dedup, near_dedup, packing, pii, quality, token_files, warc
+from . import decontam, exact_dedup, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
