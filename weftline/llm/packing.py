@@ -150,3 +150,10 @@ def op4_packing(spark, sf_dir):
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def stage(spark, docs, sf_dir):
+    """Pipeline stage: pack what is left."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

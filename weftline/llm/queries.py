@@ -17,4 +17,13 @@ QUERIES = {
     "op10_decontam": decontam.op10_decontam,
 }
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE}
