@@ -98,8 +98,8 @@ def test_key_bucket_of_50_and_51(spark):
 
 def test_pruning_at_the_cap(spark):
     recs = normalize_records(raw(spark, [("1", "S1", "qqq", "", "US"), ("2", "S2", "qqq", "", "US"), ("3", "S2", "zzz", "", "US"), ("4", "S2", "qzz", "", "US")]))
-    at = {r.gram for r in corpus.postings(recs, "name", 2).collect()}
-    below = {r.gram for r in corpus.postings(recs, "name", 1).collect()}
+    at = {r.gram for r in corpus.postings(recs, "name", 2).where("src = 'S2'").collect()}
+    below = {r.gram for r in corpus.postings(recs, "name", 1).where("src = 'S2'").collect()}
     assert "qqq" in at and "qqq" not in below and "zz " in at
 
 
