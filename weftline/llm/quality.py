@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, small_batches, table
 
-SAMPLE = 20_000  # labelled documents at most
+SAMPLE = 8_000  # labelled documents at most
 VOCABULARY = 4_000  # words with a weight, at most
 LIMIT = 1.0
 TARGETS = ("junk", "toxic")
