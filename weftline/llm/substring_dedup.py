@@ -28,7 +28,7 @@ from .shared import Scratch, small_batches, table
 from .words import hashes, mix, rolling
 
 WINDOW = 50
-GRAM = 12
+GRAM = 25
 SHARD = 4_000  # segments to search in one group
 WORD = re.compile("[^ \t-\r]+")
 
