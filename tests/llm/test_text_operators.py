@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from weftline.llm import decontam, line_dedup, near_dedup, pii, quality
+from weftline.llm.shared import Scratch
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -163,3 +166,31 @@ def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.keep for r in quality.classify(docs([(1, "a"), (2, None)]), none).collect()] == [True, True]
     assert quality.classify(docs([]), none).collect() == []
+
+
+def test_edits_within_equals_full_matrix():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abé🙂", k=rng.randint(0, 12))) for _ in range(3000)]
+    for a, b in zip(words, words[1:]):
+        most = rng.randint(0, 8)
+        assert line_dedup.edits_within(a, b, most) == (distance(a, b) <= most), (a, b, most)
+
+
+def test_leader_of_more_lines_than_a_portion(spark):
+    base = [f"word{i:02d}" for i in range(60)]
+    texts = [" ".join(base[:59] + [f"tail{i:03d}"]) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "verdicts")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 200)], "h long, lead long")
+    held = docs.select(F.col("doc_id").alias("h"), F.col("text").alias("norm"))
+    found = line_dedup.verdicts(pairs, held, 0.9, scratch, 0).collect()
+    assert sorted((r["h"], r["lead"], r["linked"]) for r in found) == [(i, 0, True) for i in range(1, 200)]
