@@ -97,6 +97,22 @@ def test_near_dedup_against_all_pairs(docs):
     assert near_dedup.near_dedup(docs([])).collect() == []
 
 
+def test_near_dedup_of_documents_that_share_a_passage(docs):
+    """Buckets full of documents that are no copies of their leader: pairs among them are found all the same."""
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(40)])) for i in range(60)]
+    expect = {i: i for i in range(60)}
+    for k, i in enumerate(range(0, 60, 6)):
+        w = rows[i][1].split()
+        for _ in range(6):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10_000)}"
+        rows.append((100 + k, " ".join(w)))
+        expect[100 + k] = i
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(rows)).collect()}
+    assert got == expect
+
+
 def test_line_dedup(docs):
     a = "This is the first long line that many documents do share, word for word and more, and so it goes on for a while longer"
     near = a.replace("many", "mane")
