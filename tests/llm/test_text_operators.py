@@ -210,3 +210,43 @@ def test_leader_of_more_lines_than_a_portion(spark):
     held = docs.select(F.col("doc_id").alias("h"), F.col("text").alias("norm"))
     found = line_dedup.verdicts(pairs, held, 0.9, scratch, 0).collect()
     assert sorted((r["h"], r["lead"], r["linked"]) for r in found) == [(i, 0, True) for i in range(1, 200)]
+
+
+def near_lines(docs, rows):
+    """Removed first lines by ``line_dedup``, and by comparing all pairs."""
+    got = {r.doc_id for r in line_dedup.line_dedup(docs(rows)).collect()}
+    norm = {i: line_dedup.normalise(t) for i, t in rows}
+    root = {i: i for i in norm}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in norm:
+        for b in norm:
+            if a < b and line_dedup.edits_within(norm[a], norm[b], int(max(len(norm[a]), len(norm[b])) * 0.1 + 1e-9)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return got, {i for i in norm if find(i) != i}
+
+
+def test_line_dedup_against_all_pairs(docs):
+    """Lines with words changed, dropped and misspelt, among others of the same vocabulary."""
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 10))) for _ in range(300)]
+    rows = []
+    for i in range(120):
+        w = [rnd.choice(vocab) for _ in range(rnd.choice([8, 15, 39]))]
+        rows.append((len(rows), " ".join(w)))
+        v = list(w)
+        at = rnd.randrange(len(v))
+        if i % 3 == 0:
+            v[at] = v[at][:1] + "z" + v[at][2:]
+        elif i % 3 == 1:
+            del v[at]
+        else:
+            v[at] = rnd.choice(vocab)
+        rows.append((len(rows), " ".join(v)))
+    got, want = near_lines(docs, rows)
+    assert len(want) > 90 and got == want
