@@ -250,3 +250,35 @@ def test_line_dedup_against_all_pairs(docs):
         rows.append((len(rows), " ".join(v)))
     got, want = near_lines(docs, rows)
     assert len(want) > 90 and got == want
+
+
+def test_line_dedup_of_chains(docs):
+    """Chains of lines, each linked to its neighbours only."""
+    rnd = random.Random(13)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 10))) for _ in range(2000)]
+    rows = []
+    for _ in range(4):
+        w = [rnd.choice(vocab) for _ in range(30)]
+        at = list(range(30))
+        rnd.shuffle(at)
+        for k in range(30):
+            rows.append((len(rows), " ".join(w)))
+            w[at[k]] = "".join(rnd.choice("bcfgjkmp") for _ in w[at[k]])
+    order = list(range(len(rows)))
+    rnd.shuffle(order)
+    rows = [(order[i], t) for i, t in rows]
+    got, want = near_lines(docs, rows)
+    assert got == want
+
+
+def test_chain_of_sketches_in_one_bucket(spark):
+    """Lines near a bucket's leader also pair with lines that are too far from it."""
+    flip = lambda n: (1 << n) - 1
+    rows = [(k, 0, 100 * k + i, flip(min(6 * i, 60)), flip(max(6 * i - 60, 0))) for k in range(5) for i in range(20)]
+    members = spark.createDataFrame(rows, "key long, level int, h long, a long, b long")
+    pairs, _ = line_dedup.near_pairs(members, Scratch(spark, "chain"), 0)
+    found, group = pairs.collect(), {r[2]: r[2] for r in rows}
+    for _ in rows:
+        for p in found:
+            group[p["h"]] = group[p["lead"]] = min(group[p["h"]], group[p["lead"]])
+    assert group == {h: h - h % 100 for h in group}
