@@ -282,3 +282,16 @@ def test_chain_of_sketches_in_one_bucket(spark):
         for p in found:
             group[p["h"]] = group[p["lead"]] = min(group[p["h"]], group[p["lead"]])
     assert group == {h: h - h % 100 for h in group}
+
+
+def test_near_dedup_of_pairs_with_scattered_edits(docs):
+    """Copies in which 15 of 100 words are replaced, all over the text."""
+    rnd = random.Random(14)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(40)]
+    for i in range(40):
+        w = rows[i][1].split()
+        for at in rnd.sample(range(100), 15):
+            w[at] = f"n{i}x{at}"
+        rows.append((100 + i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(rows)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
