@@ -295,3 +295,19 @@ def test_near_dedup_of_pairs_with_scattered_edits(docs):
         rows.append((100 + i, " ".join(w)))
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(rows)).collect()}
     assert got == {i: i % 100 for i, _ in rows}
+
+
+def test_near_dedup_of_scattered_edits_in_full_buckets(docs):
+    """Copies with six scattered edits in 100 words, among documents that share a passage."""
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(40)])) for i in range(60)]
+    expect = {i: i for i in range(60)}
+    for k, i in enumerate(range(0, 60, 6)):
+        w = rows[i][1].split()
+        for _ in range(6):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10_000)}"
+        rows.append((100 + k, " ".join(w)))
+        expect[100 + k] = i
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(rows)).collect()}
+    assert got == expect
