@@ -153,3 +153,19 @@ def test_stream(spark, tmp_path):
     arriving = spark.readStream.schema("entity_id string, business_name string, business_address string, country string").parquet(str(tmp_path / "in"))
     link_stream(arriving, targets, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert [(r.s1, r.cand) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("s", "t")]
+
+
+def test_model_out_of_fold_takes_default_options(spark, monkeypatch):
+    from weftline.plans import linkage, queries
+
+    class Ran(Exception):
+        pass
+
+    def cross_validate(raw, gold, ws, o=linkage.Options(), **inputs):
+        assert o == linkage.Options()
+        raise Ran
+
+    monkeypatch.setattr(linkage, "cross_validate", cross_validate)
+    monkeypatch.setattr(queries, "Biz", lambda spark, d: type("B", (), {"raw": lambda self: None, "gold": lambda self: None})())
+    with pytest.raises(Ran):
+        queries.model_out_of_fold(spark, "")

@@ -245,7 +245,7 @@ def model_out_of_fold(spark, d):
     from .linkage import Options, Workspace, cross_validate
 
     b = Biz(spark, d)
-    return cross_validate(b.raw(), b.gold(), Workspace(spark), Options(folds=3, rounds=10))["report"].withColumn("macro_f05", F.round("macro_f05", 4))
+    return cross_validate(b.raw(), b.gold(), Workspace(spark), Options())["report"].withColumn("macro_f05", F.round("macro_f05", 4))
 
 
 def dense_encoder(spark, d):
