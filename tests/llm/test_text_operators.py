@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, line_dedup, near_dedup, pii, quality
+from weftline.llm import buckets, decontam, line_dedup, near_dedup, pii, quality
 from weftline.llm.shared import Scratch
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -117,9 +118,8 @@ def test_line_dedup(docs):
     a = "This is the first long line that many documents do share, word for word and more, and so it goes on for a while longer"
     near = a.replace("many", "mane")
     rows = [(3, f"{a}\nshort\nown line of the third document here"), (1, f"short\n{a}\n{a}"), (2, a.upper() + "!"), (4, near), (5, None), (6, ""), (7, "short"), (None, a)]
-    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs(rows)).collect()}
-    assert got.pop(4, [0]) == [0]
-    assert got == {3: [0], 1: [2], 2: [0]}
+    got = {r.doc_id: r.gone_lines for r in line_dedup.line_dedup(docs(rows)).collect()}
+    assert got == {1: [2], 2: [0], 3: [0, 1], 4: [0], 7: [0]}
     assert line_dedup.line_dedup(docs([])).collect() == []
 
 
@@ -201,21 +201,98 @@ def test_edits_within_equals_full_matrix():
         assert line_dedup.edits_within(a, b, most) == (distance(a, b) <= most), (a, b, most)
 
 
-def test_leader_of_more_lines_than_a_portion(spark):
-    base = [f"word{i:02d}" for i in range(60)]
-    texts = [" ".join(base[:59] + [f"tail{i:03d}"]) for i in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scratch = Scratch(spark, "verdicts")
-    pairs = spark.createDataFrame([(i, 0) for i in range(1, 200)], "h long, lead long")
-    held = docs.select(F.col("doc_id").alias("h"), F.col("text").alias("norm"))
-    found = line_dedup.verdicts(pairs, held, 0.9, scratch, 0).collect()
-    assert sorted((r["h"], r["lead"], r["linked"]) for r in found) == [(i, 0, True) for i in range(1, 200)]
+def test_item_of_more_pairs_than_a_portion(spark):
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, 300) for i in range(150)] + [(5, 6)], "a long, b long")
+    payload = spark.createDataFrame([(i, f"t{i}") for i in range(301)], "id long, data string")
+    found = buckets.dealt(pairs, payload).collect()
+    assert sorted((r.a, r.b) for r in found) == sorted(tuple(r) for r in pairs.collect())
+    assert all(r.x == f"t{r.a}" and r.y == f"t{r.b}" for r in found)
+
+
+def test_blocks_round_trip():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        rows = {"key": rnd.integers(0, 1 << 63, n).astype("<u8"), "id": rnd.integers(-(1 << 62), 1 << 62, n).astype("<i8"), "size": rnd.integers(0, 1 << 32, n).astype("<u4"), "sig": rnd.integers(0, 1 << 32, n).astype("<u4"), "at": rnd.integers(0, 256, n).astype("u1")}
+        back = buckets.unpack(buckets.pack(rows))
+        assert all((back[c] == rows[c]).all() for c in rows)
+
+
+def test_buckets_against_brute_force(spark):
+    """Members that meet, with small and large buckets, a bucket of most rows, repeated rows and an empty table."""
+    rnd = random.Random(21)
+    rows = {(rnd.randrange(60) if rnd.random() < 0.3 else rnd.choice([1000, 1001]), i % 400) for i in range(1500)}
+    frame = spark.createDataFrame([(k, i % 7, i, 10, 0) for k, i in sorted(rows) for _ in range(rnd.choice([1, 2]))], "key long, at int, id long, size int, sig int").repartition(3)
+    pairs, hot = buckets.meet(frame, buckets.read_members, lambda x, y: x["size"] == y["size"], Scratch(spark, "meet"), "met")
+    members = {}
+    for k, i in rows:
+        members.setdefault(k, set()).add(i)
+    small = [m for m in members.values() if len(m) <= buckets.ALL]
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for m in small for a in m for b in m if a < b}
+    stars = [(r.a, r.b) for r in pairs.where("star").collect()]
+    assert len(stars) == sum(len(m) - 1 for m in small)
+    got = {}
+    for r in hot.collect():
+        got.setdefault(r.key, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > buckets.ALL)
+    pairs, hot = buckets.meet(frame.limit(0), buckets.read_members, lambda x, y: x["size"] == y["size"], Scratch(spark, "meet"), "met")
+    assert pairs.collect() == [] and hot.collect() == []
+
+
+def test_line_classes_of_colliding_hashes(docs, spark):
+    """Lines whose first hashes collide are told apart, and equal ones are found all the same."""
+    rnd = random.Random(22)
+    texts = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(6)) for _ in range(150)]
+    rows = [(i, texts[i % 150]) for i in range(300)]
+    frame = docs(rows).withColumn("text_key", line_dedup.text_key(F.col("text"))).select("doc_id", "text", "text_key")
+    gone = {r.doc_id for r in line_dedup.duplicate_lines(frame, 1.0, Scratch(spark, "lines"), id_bits=4).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    assert gone == {i for i, t in rows if first[t] != i}
+
+
+def test_upper_bound_of_edits():
+    rnd = random.Random(23)
+    for _ in range(500):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(80)))
+        b = list(a)
+        for _ in range(rnd.randrange(8)):
+            if b:
+                b[rnd.randrange(len(b))] = rnd.choice(["", "x", "ab"])
+        b = "".join(b)
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        assert line_dedup._edits_at_most(a, b) >= row[-1]
+        for most in (0, 1, 3, 8):
+            assert line_dedup.edits_within(a, b, most) == (row[-1] <= most)
+
+
+def test_line_keys_recall():
+    """Lines at edit similarity 0.9, letters replaced all over them: by length at least nine in ten share a key and pass the filter."""
+    rnd = random.Random(24)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 10))) for _ in range(5000)]
+    for words in (3, 5, 12, 30, 80):
+        met = 0
+        for _ in range(150):
+            a = " ".join(rnd.choice(vocab) for _ in range(words))
+            if len(a) < 10:
+                a += " etaoin"
+            b = list(a)
+            for at in rnd.sample(range(len(b)), len(b) // 10):
+                b[at] = rnd.choice("bcfgjkmp")
+            x, y = (line_dedup.sketches([t], 0.9) for t in (a, "".join(b)))
+            met += any(p[1] == q[1] and set(np.frombuffer(p[2], "<u4")) & set(np.frombuffer(q[2], "<u4")) and ((p[3] ^ q[3]) & 0xFFFFFFFF).bit_count() <= line_dedup.FAR for p in x for q in y)
+        assert met >= 135, words
 
 
 def near_lines(docs, rows):
     """Removed first lines by ``line_dedup``, and by comparing all pairs."""
     got = {r.doc_id for r in line_dedup.line_dedup(docs(rows)).collect()}
-    norm = {i: line_dedup.normalise(t) for i, t in rows}
+    norm = {i: line_dedup.normalised(t)[0] for i, t in rows}
     root = {i: i for i in norm}
 
     def find(i):
@@ -271,19 +348,6 @@ def test_line_dedup_of_chains(docs):
     assert got == want
 
 
-def test_chain_of_sketches_in_one_bucket(spark):
-    """Lines near a bucket's leader also pair with lines that are too far from it."""
-    flip = lambda n: (1 << n) - 1
-    rows = [(k, 0, 100 * k + i, flip(min(6 * i, 60)), flip(max(6 * i - 60, 0))) for k in range(5) for i in range(20)]
-    members = spark.createDataFrame(rows, "key long, level int, h long, a long, b long")
-    pairs, _ = line_dedup.near_pairs(members, Scratch(spark, "chain"), 0)
-    found, group = pairs.collect(), {r[2]: r[2] for r in rows}
-    for _ in rows:
-        for p in found:
-            group[p["h"]] = group[p["lead"]] = min(group[p["h"]], group[p["lead"]])
-    assert group == {h: h - h % 100 for h in group}
-
-
 def test_near_dedup_of_pairs_with_scattered_edits(docs):
     """Copies in which 15 of 100 words are replaced, all over the text."""
     rnd = random.Random(14)
