@@ -212,7 +212,7 @@ def test_item_of_more_pairs_than_a_portion(spark):
 def test_blocks_round_trip():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 1000):
-        rows = {"key": rnd.integers(0, 1 << 63, n).astype("<u8"), "id": rnd.integers(-(1 << 62), 1 << 62, n).astype("<i8"), "size": rnd.integers(0, 1 << 32, n).astype("<u4"), "sig": rnd.integers(0, 1 << 32, n).astype("<u4"), "at": rnd.integers(0, 256, n).astype("u1")}
+        rows = {"key": rnd.integers(0, 1 << 63, n).astype("<u8"), "id": rnd.integers(-(1 << 62), 1 << 62, n).astype("<i8"), "size": rnd.integers(0, 1 << 32, n).astype("<u4"), "sig": rnd.integers(0, 1 << 32, n).astype("<u4"), "pos": rnd.integers(0, 1 << 32, n).astype("<u4"), "at": rnd.integers(0, 256, n).astype("u1")}
         back = buckets.unpack(buckets.pack(rows))
         assert all((back[c] == rows[c]).all() for c in rows)
 
@@ -221,7 +221,7 @@ def test_buckets_against_brute_force(spark):
     """Members that meet, with small and large buckets, a bucket of most rows, repeated rows and an empty table."""
     rnd = random.Random(21)
     rows = {(rnd.randrange(60) if rnd.random() < 0.3 else rnd.choice([1000, 1001]), i % 400) for i in range(1500)}
-    frame = spark.createDataFrame([(k, i % 7, i, 10, 0) for k, i in sorted(rows) for _ in range(rnd.choice([1, 2]))], "key long, at int, id long, size int, sig int").repartition(3)
+    frame = spark.createDataFrame([(k, i % 7, i, 10, 0, 0) for k, i in sorted(rows)], "key long, at int, id long, size int, sig int, pos int").repartition(3)
     pairs, hot = buckets.meet(frame, buckets.read_members, lambda x, y: x["size"] == y["size"], Scratch(spark, "meet"), "met")
     members = {}
     for k, i in rows:
@@ -285,7 +285,7 @@ def test_line_keys_recall():
             for at in rnd.sample(range(len(b)), len(b) // 10):
                 b[at] = rnd.choice("bcfgjkmp")
             x, y = (line_dedup.sketches([t], 0.9) for t in (a, "".join(b)))
-            met += any(p[1] == q[1] and set(np.frombuffer(p[2], "<u4")) & set(np.frombuffer(q[2], "<u4")) and ((p[3] ^ q[3]) & 0xFFFFFFFF).bit_count() <= line_dedup.FAR for p in x for q in y)
+            met += any(p[1] == q[1] and set(np.frombuffer(p[2], "<u4")) & set(np.frombuffer(q[2], "<u4")) and ((p[4] ^ q[4]) & 0xFFFFFFFF).bit_count() <= line_dedup.FAR for p in x for q in y)
         assert met >= 135, words
 
 

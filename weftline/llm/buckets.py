@@ -4,11 +4,11 @@ Keys travel in packed blocks, one row for thousands of (key, item), and meet in
 share of the blocks. A key with many members in one task's block sends all but a few of them past the sort, evenly dealt, and
 is a large bucket by that; so no key gathers in one task.
 
-A bucket of at most ``ALL`` members gives all its pairs, those with its leader first. Members of a larger one pair with its
-leader, the item of least hash. If any of them is neither linked to the leader nor connected with it otherwise, all but the
-leader go on with a finer key, the bucket's and further minima of the item; with no minima left, those not linked go on
-under the same key and another leader, until none is left. A member has one finer key at a time, so the rows of a
-round are at most those of the round before. Two items that meet in large buckets alone may part at a finer key.
+A bucket of at most ``ALL`` members gives all its pairs, those with its leader, the item of least hash, first. Members of a
+larger one pair with its leader. If links do not connect all of them to it, they go on with a finer key, the bucket's and further
+minima of the item; with no minima left, those not connected go on under the same key and another leader, until none is left.
+A member has one finer key at a time, so the rows of a round are at most those of the round before. Two items
+that meet in large buckets alone may part at a finer key.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ _HOLD = 1_000_000  # (key, item) rows that a task sorts at once
 _SLICE = 500_000  # pairs that are made at once
 _HOT = 64  # members of one key in a block, above which the rest are dealt
 FINER = ((1, 1), (2, 2), (4, 4), (8, 24))  # first further minimum and how many, by round
-FOUND = "a long, b long, star boolean, key long, at int, size int, sig int"
-_TYPES = (("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("sig", "<u4"), ("at", "u1"))
+FOUND = "a long, b long, star boolean, key long, at int, size int, sig int, pos int"
+_MEMBER = ["key", "at", "id", "size", "sig", "pos"]
+_TYPES = (("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("sig", "<u4"), ("pos", "<u4"), ("at", "u1"))
 
 
 def pack(rows: dict[str, np.ndarray]) -> bytes:
@@ -51,17 +52,16 @@ def _take(rows: dict, at) -> dict:
 
 
 def _runs(rows: dict) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Sorted by key and item without repeated ones, and the runs' starts and lengths."""
-    rows = _take(rows, np.lexsort((rows["id"], rows["key"])))
-    k, i = rows["key"], rows["id"]
-    rows = _take(rows, np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]) if len(k) else rows
+    """Sorted by key, and the runs' starts and lengths."""
+    rows = _take(rows, np.argsort(rows["key"]))
     k = rows["key"]
     starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     return rows, starts, np.diff(np.r_[starts, len(k)])
 
 
 def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b, star) pairs of small buckets, a < b, star if with the leader, and members (key, at, id, size, sig) of large ones.
+    """(a, b, star) pairs of small buckets, a < b, star if with the leader, and members (_MEMBER) of large ones,
+    both with repetitions where rows repeat.
 
     ``read`` makes the columns of _TYPES from an Arrow batch of ``rows``; ``fits`` says of two such sets of columns
     which pairs may be linked at all.
@@ -103,7 +103,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
     def pairs(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in FOUND.split(", ")]
 
         def batch(n, **columns):
@@ -112,7 +112,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
         def members(x):
             for at in range(0, len(x["key"]), 100_000):
                 y = _take(x, slice(at, at + 100_000))
-                yield batch(len(y["key"]), a=y["id"], key=y["key"].view(np.int64), at=y["at"].astype(np.int32), size=y["size"].view(np.int32), sig=y["sig"].view(np.int32))
+                yield batch(len(y["key"]), a=y["id"], key=y["key"].view(np.int64), at=y["at"].astype(np.int32), size=y["size"].view(np.int32), sig=y["sig"].view(np.int32), pos=y["pos"].view(np.int32))
 
         held = []
         for b in batches:
@@ -135,19 +135,19 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
                 at = found[at : at + step, None] + np.arange(size)
                 at = np.take_along_axis(at, np.argsort(mix(rows["id"][at].view(np.uint64)), 1), 1)  # the leader first
                 x, y, star = at[:, i].ravel(), at[:, j].ravel(), np.tile(i == 0, len(at))
-                keep = fits(_take(rows, x), _take(rows, y))
+                keep = (rows["id"][x] != rows["id"][y]) & fits(_take(rows, x), _take(rows, y))
                 a, b = rows["id"][x[keep]], rows["id"][y[keep]]
                 yield batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=star[keep])
 
     blocked = rows.mapInArrow(deal, "p int, hot boolean, data binary").repartitionById(parts, F.col("p"))
     found = scratch.table(blocked.mapInArrow(pairs, FOUND), name)
-    return found.where("b IS NOT NULL").select("a", "b", "star"), found.where("b IS NULL").select("key", "at", F.col("a").alias("id"), "size", "sig")
+    return found.where("b IS NOT NULL").select("a", "b", "star"), found.where("b IS NULL").withColumnRenamed("a", "id").select(_MEMBER)
 
 
 def read_members(b) -> dict[str, np.ndarray]:
-    """Columns of a batch of key, at, id, size, sig."""
+    """Columns of a batch of members."""
     get = lambda c, t: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(t)
-    return {"key": get("key", np.int64).view(np.uint64), "id": get("id", np.int64), "size": get("size", np.uint32), "sig": get("sig", np.int32).view(np.uint32), "at": get("at", np.uint8)}
+    return {"key": get("key", np.int64).view(np.uint64), "id": get("id", np.int64), "size": get("size", np.uint32), "sig": get("sig", np.int32).view(np.uint32), "pos": get("pos", np.int32).view(np.uint32), "at": get("at", np.uint8)}
 
 
 def only(rows: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -162,12 +162,7 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
     ``minima``: id, level, mins, which are ``count`` numbers of ``width`` bytes each in binary; ``at`` is level * 32 + the number's
     place; ``payload_of``: table of ids to (id, data), what is compared; ``judge``: whether two data are linked.
     """
-    state = {"known": None, "roots": None, "k": 0}
-
-    def rooted(pairs: DataFrame) -> DataFrame:
-        for end in "ab":
-            pairs = pairs.join(state["roots"].select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        return pairs
+    known: list[DataFrame] = []
 
     def work(batches):
         import pyarrow as pa
@@ -176,55 +171,67 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
             linked = [judge(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    def settle(pairs: DataFrame, payload: DataFrame) -> None:
-        """Verify those that are neither known nor connected."""
-        k, pairs = state["k"], pairs.select("a", "b").distinct()
-        if state["known"] is not None:
-            pairs = rooted(pairs.join(state["known"].select("a", "b"), ["a", "b"], "left_anti")).where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
-        pairs = scratch.table(pairs, f"pairs-{k}")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Verdicts of distinct pairs, which become known."""
+        k = len(known)
+        pairs = scratch.table(pairs.select("a", "b").distinct(), f"pairs-{k}")
         ends = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"ends-{k}")
-        verdicts = scratch.table(dealt(pairs, only(payload, ends)).mapInArrow(work, "a long, b long, linked boolean"), f"verdicts-{k}")
-        scratch.drop(f"pairs-{k}", f"ends-{k}")
-        state["known"] = verdicts if state["known"] is None else state["known"].unionByName(verdicts)
-        state["k"] = k + 1
+        payload = scratch.table(payload_of(ends), f"payload-{k}")
+        known.append(scratch.table(dealt(pairs, payload).mapInArrow(work, "a long, b long, linked boolean"), f"verdicts-{k}"))
+        scratch.drop(f"pairs-{k}", f"ends-{k}", f"payload-{k}")
+        return known[-1]
+
+    def edges() -> DataFrame:
+        out = known[0]
+        for x in known[1:]:
+            out = out.unionByName(x)
+        return out.where("linked").select("a", "b")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs that links do not connect yet."""
+        for end in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        return pairs.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").drop("root_a", "root_b")
 
     def led(hot: DataFrame, k: int) -> DataFrame:
-        """Members of large buckets but the leader: a, b (the pair with it), id, key, at, size, sig, near."""
-        leader = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), F.col("id").alias("lead"), F.col("size").alias("lead_size"), F.col("sig").alias("lead_sig"))).alias("l")
-        out = hot.join(hot.groupBy("key").agg(leader).select("key", "l.lead", "l.lead_size", "l.lead_sig"), "key").where("id <> lead")
-        return scratch.table(out.select("key", "at", "id", "size", "sig", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"), F.expr(near).alias("near")), f"led-{k}")
+        """Members of large buckets but the leader, with a, b (the pair with it) and near, whether the two may be linked."""
+        leader = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *[F.col(c).alias(f"lead_{c}") for c in ("id", "size", "sig", "pos")])).alias("l")
+        out = hot.join(hot.groupBy("key").agg(leader).select("key", "l.*"), "key").where("id <> lead_id")
+        return scratch.table(out.select(*_MEMBER, F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b"), F.expr(near).alias("near")), f"led-{k}")
+
+    def finer(hot: DataFrame, first: int, many: int) -> DataFrame:
+        own = minima.join(hot.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "level"]).withColumnRenamed("id", "own")
+        more = F.substring(F.concat("mins", "mins"), (F.col("at") % 32 + first) % count * width + 1, F.lit(width * min(many, count)))
+        return hot.join(own, (hot["id"] == own["own"]) & (F.floor(hot["at"] / 32) == own["level"])).select(F.xxhash64("key", more).alias("key"), *_MEMBER[1:])
 
     pairs, hot = meet(rows, read, fits, scratch, "met-0")
-    members, depth = led(hot, 0), 0
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id"))
-    payload = scratch.table(payload_of(scratch.table(ends.distinct(), "ends")), "payload")
-    settle(pairs.where("star").select("a", "b").unionByName(members.where("near").select("a", "b")), payload)
-    state["roots"] = components(state["known"].where("linked").select("a", "b"), scratch, "first")
-    settle(pairs.where("NOT star"), payload)
-    while True:
-        linked = state["known"].where("linked").select("a", "b", F.lit(True).alias("linked"))
-        judged = rooted(members.drop("near").join(linked, ["a", "b"], "left"))
-        judged = judged.select("key", "at", "id", "size", "sig", (F.col("linked").isNotNull() | F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).alias("linked"))
-        judged = scratch.table(judged, f"judged-{depth}")
-        rest = judged.join(judged.where("NOT linked").select("key").distinct(), "key", "left_semi")
-        rest = scratch.table(rest if depth < len(FINER) else rest.where("NOT linked"), f"rest-{depth}")
-        scratch.drop(f"led-{depth}", f"met-{depth}", f"judged-{depth}", f"rest-{depth - 1}")
-        if rest.isEmpty():
-            scratch.drop("payload", "ends", f"rest-{depth}")
-            return state["known"].where("linked").select("a", "b")
-        if depth < len(FINER):
-            own = minima.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "level"]).withColumnRenamed("id", "own")
-            first, many = FINER[depth]
-            more = F.substring(F.concat("mins", "mins"), (F.col("at") % 32 + first) % count * width + 1, F.lit(width * min(many, count)))
-            finer = rest.join(own, (rest["id"] == own["own"]) & (F.floor(rest["at"] / 32) == own["level"]))
-            finer = finer.select(F.xxhash64("key", more).alias("key"), "at", "id", "size", "sig")
-            pairs, hot = meet(finer, read_members, fits, scratch, f"met-{depth + 1}")
-        else:
-            pairs, hot = None, rest.drop("linked")
-        members = led(hot, depth + 1)
-        new = members.where("near").select("a", "b")
-        settle(new if pairs is None else new.unionByName(pairs.select("a", "b")), payload)
-        depth += 1
+    members = led(hot, 0)
+    verified(pairs.where("star").select("a", "b").unionByName(members.where("near").select("a", "b")))
+    roots = components(edges(), scratch, "first")
+    found = [apart(pairs.where("NOT star").select("a", "b"), roots)]
+    open_keys = scratch.table(apart(members, roots).select("key").distinct(), "open")
+    hot = hot.join(open_keys, "key", "left_semi")
+    for k, (first, many) in enumerate(FINER, 1):
+        hot = scratch.table(hot, f"hot-{k}")
+        if hot.isEmpty():
+            break
+        pairs, hot = meet(finer(hot, first, many), read_members, fits, scratch, f"met-{k}")
+        found.append(apart(pairs.select("a", "b"), roots))
+    rest = found[0]
+    for x in found[1:]:
+        rest = rest.unionByName(x)
+    verified(rest.join(known[0].select("a", "b"), ["a", "b"], "left_anti"))
+    hot = scratch.table(hot, "hot-rest")
+    scratch.drop("led-0", "open", *[f"{x}-{k}" for x in ("met", "hot") for k in range(len(FINER) + 1)])
+    k = 1
+    while not hot.isEmpty():
+        members = led(hot, k)
+        verified(apart(members.where("near").select("a", "b"), roots))
+        roots = components(edges(), scratch, f"round-{k}")
+        hot = scratch.table(apart(members, roots).select(_MEMBER), f"hot-rest-{k}")
+        scratch.drop(f"led-{k}", f"hot-rest-{k - 1}")
+        k += 1
+    return edges()
 
 
 def dealt(pairs: DataFrame, payload: DataFrame, portion: int = 64) -> DataFrame:
