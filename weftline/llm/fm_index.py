@@ -53,7 +53,7 @@ class FMIndex:
         text = np.concatenate([*parts, [0]]).astype(np.int64)
         owner = np.concatenate([*owner, [0]]).astype(np.int64)
         sa = suffix_array(text)
-        self.n, self.owner = len(text), owner[sa]
+        self.n, self.text, self.owner, self.sa = len(text), text, owner, sa
         bwt = text[sa - 1]
         sigma = n_words + 2
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -84,25 +84,38 @@ class FMIndex:
         right: the match ending at ``e`` grows to the left as far as it goes, which gives the matching
         statistics of the runs it covers. Then the search starts again at the last end that could still
         hold an unread position: runs with the position that failed and the old end are all out.
+        A match at one place only is located there and grows by comparing words, which is what backward search would find.
         """
         lane = np.flatnonzero(length >= least)
         e = length[lane] - 1
-        p, sp, ep = e.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
+        p, sp, ep = e.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), self.n)  # ep: -1 where the match is at place sp
         out = []
         while len(lane):
             c = words[start[lane] + p]
-            known = c >= 0
-            both = self.step(np.tile(np.where(known, c, 0), 2), np.concatenate([sp, ep]))
-            nsp, nep = both[: len(lane)], both[len(lane) :]
-            ok = known & (nsp < nep)
-            sp, ep = np.where(ok, nsp, 0), np.where(ok, nep, self.n)
+            found = c >= 0
+            placed = ep < 0
+            at = np.flatnonzero(placed)
+            before = sp[at] - 1
+            found[at] &= self.text[before] == c[at] + 2  # a sequence's first word has an end before it, which is no word
+            sp[at] = before
+            wide = np.flatnonzero(~placed & found)
+            if wide.size:
+                both = self.step(np.tile(c[wide], 2), np.concatenate([sp[wide], ep[wide]]))
+                lo, hi = both[: len(wide)], both[len(wide) :]
+                one = hi - lo == 1
+                sp[wide], ep[wide] = np.where(one, self.sa[np.minimum(lo, self.n - 1)], lo), np.where(one, -1, hi)
+                found[wide] = lo < hi
             size = e - p + 1
-            hit = np.flatnonzero(ok & (size >= least))
+            hit = np.flatnonzero(found & (size >= least))
             if hit.size:
-                out.append((lane[hit], p[hit], self.owner[sp[hit]]))
-            again = np.where(~known, p - 1, np.where(size - 1 >= least, p + least - 1, e - 1))
-            e = np.where(ok, e, again)
-            p = np.where(ok, p - 1, again)
+                out.append((lane[hit], p[hit], self.owner[np.where(ep[hit] < 0, sp[hit], self.sa[np.minimum(sp[hit], self.n - 1)])]))
+            lost = np.flatnonzero(~found)
+            if lost.size:
+                p_, e_ = p[lost], e[lost]
+                e[lost] = p[lost] = np.where(c[lost] < 0, p_ - 1, np.where(size[lost] - 1 >= least, p_ + least - 1, e_ - 1))
+                sp[lost], ep[lost] = 0, self.n
+                p[lost] += 1
+            p -= 1
             live = (p >= 0) & (e >= least - 1)
             if not live.all():
                 lane, e, p, sp, ep = lane[live], e[live], p[live], sp[live], ep[live]

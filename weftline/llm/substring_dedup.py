@@ -130,10 +130,11 @@ def search_shard(own: list, queries: list, window: int) -> list[tuple[int, int,
     sequences = [np.array([names.setdefault(w, len(names)) for w in words.split(" ")], np.int64) for _, _, words in own]
     index = FMIndex(sequences, len(names))
     owners = np.array([d for d, _, _ in own], np.int64)
-    numbered = [np.array([names.get(w, -1) for w in words.split(" ")], np.int64) for _, _, words in queries]
+    get = names.get
+    numbered = [[get(w, -1) for w in words.split(" ")] for _, _, words in queries]
     length = np.array([len(x) for x in numbered], np.int64)
-    start = np.concatenate([[0], np.cumsum(length)[:-1]])
-    q, at, seq = index.matches(np.concatenate(numbered), start, length, window)
+    start = np.cumsum(length) - length
+    q, at, seq = index.matches(np.fromiter((n for x in numbered for n in x), np.int64, int(length.sum())), start, length, window)
     docs, begin = np.array([d for d, _, _ in queries], np.int64), np.array([s for _, s, _ in queries], np.int64)
     good = owners[seq] < docs[q]
     q, at = q[good], at[good]
