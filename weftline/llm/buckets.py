@@ -27,7 +27,7 @@ ALL = 16
 _HOLD = 1_000_000  # (key, item) rows that a task sorts at once
 _SLICE = 500_000  # pairs that are made at once
 _HOT = 64  # members of one key in a block, above which the rest are dealt
-FINER = ((1, 1), (2, 2), (4, 4), (8, 24))  # first further minimum and how many, by round
+FINER = ((1, 1), (2, 2), (4, 28))  # first further minimum and how many, by round
 FOUND = "a long, b long, star boolean, key long, at int, size int, sig int, pos int"
 _MEMBER = ["key", "at", "id", "size", "sig", "pos"]
 _TYPES = (("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("sig", "<u4"), ("pos", "<u4"), ("at", "u1"))
@@ -155,8 +155,8 @@ def only(rows: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "id", "left_semi")
 
 
-def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch) -> DataFrame:
-    """Linked (a, b) pairs, enough of them to connect what their buckets connect, of items that share a key.
+def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Linked (a, b) pairs of items that share a key, enough of them to connect what their buckets connect, and (node, root) of their components.
 
     ``rows``, ``read``, ``fits``: see ``meet``; ``near``: the same as ``fits`` in SQL, of columns and such that start with lead_;
     ``minima``: id, level, mins, which are ``count`` numbers of ``width`` bytes each in binary; ``at`` is level * 32 + the number's
@@ -171,15 +171,20 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
             linked = [judge(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Verdicts of distinct pairs, which become known."""
+    def verified(pairs: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+        """Roots after verifying distinct pairs, which become known."""
         k = len(known)
         pairs = scratch.table(pairs.select("a", "b").distinct(), f"pairs-{k}")
+        if roots is not None and pairs.isEmpty():
+            return roots
         ends = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"ends-{k}")
         payload = scratch.table(payload_of(ends), f"payload-{k}")
         known.append(scratch.table(dealt(pairs, payload).mapInArrow(work, "a long, b long, linked boolean"), f"verdicts-{k}"))
         scratch.drop(f"pairs-{k}", f"ends-{k}", f"payload-{k}")
-        return known[-1]
+        new = known[-1].where("linked").select("a", "b")
+        if roots is not None:
+            new = new.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return components(new, scratch, name)
 
     def edges() -> DataFrame:
         out = known[0]
@@ -206,8 +211,7 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
 
     pairs, hot = meet(rows, read, fits, scratch, "met-0")
     members = led(hot, 0)
-    verified(pairs.where("star").select("a", "b").unionByName(members.where("near").select("a", "b")))
-    roots = components(edges(), scratch, "first")
+    roots = verified(pairs.where("star").select("a", "b").unionByName(members.where("near").select("a", "b")), None, "first")
     found = [apart(pairs.where("NOT star").select("a", "b"), roots)]
     open_keys = scratch.table(apart(members, roots).select("key").distinct(), "open")
     hot = hot.join(open_keys, "key", "left_semi")
@@ -220,18 +224,17 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
     rest = found[0]
     for x in found[1:]:
         rest = rest.unionByName(x)
-    verified(rest.join(known[0].select("a", "b"), ["a", "b"], "left_anti"))
+    roots = verified(rest.join(known[0].select("a", "b"), ["a", "b"], "left_anti"), roots, "second")
     hot = scratch.table(hot, "hot-rest")
     scratch.drop("led-0", "open", *[f"{x}-{k}" for x in ("met", "hot") for k in range(len(FINER) + 1)])
     k = 1
     while not hot.isEmpty():
         members = led(hot, k)
-        verified(apart(members.where("near").select("a", "b"), roots))
-        roots = components(edges(), scratch, f"round-{k}")
+        roots = verified(apart(members.where("near").select("a", "b"), roots), roots, f"round-{k}")
         hot = scratch.table(apart(members, roots).select(_MEMBER), f"hot-rest-{k}")
         scratch.drop(f"led-{k}", f"hot-rest-{k - 1}")
         k += 1
-    return edges()
+    return edges(), roots
 
 
 def dealt(pairs: DataFrame, payload: DataFrame, portion: int = 64) -> DataFrame:

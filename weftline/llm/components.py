@@ -13,7 +13,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 
     A step sends each node's larger neighbours (large star) or its smaller ones (small star) to its least
     neighbour. Minima are aggregated map-side, and the join with them has plain exchanges of tables on
-    both sides, so a node with very many edges is split. Ends when a round changes no edge.
+    both sides, so a node with very many edges is split. Ends when all edges lead to roots.
     """
 
     def star(e: DataFrame, small: bool, tag: str) -> DataFrame:
@@ -27,12 +27,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         return scratch.table(out.where("a <> b").distinct(), f"{name}-{tag}")
 
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
-    seen, k = None, 0
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(mark) == seen or not mark[0]:
-            break
-        seen, k = tuple(mark), k + 1
+    k = 0
+    while not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").unionByName(now.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other")).where("b <> other").select("a", "b")).isEmpty():
+        k += 1
         now = star(star(now, False, f"{k}l"), True, f"{k}s")
     pairs = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return scratch.table(pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")

@@ -20,14 +20,14 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import Scratch, small_batches, table
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 16
 FREE = 0.35
-RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, text_key long"
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -52,17 +52,22 @@ def overlap(part: list[str], words: list[str]) -> float:
     return len(own & there) / len(own)
 
 
+def item_words(text: str) -> list[str]:
+    """All words of an item; none if it has no sentence."""
+    q, a = split_item(text or "")
+    return q + a
+
+
 class Index:
-    """Impact-ordered blocks over postings sorted by item. ``items``: (id, text) pairs."""
+    """Impact-ordered blocks over postings sorted by item. ``items``: (id, text) pairs; ``corpus``: number of items, their mean and longest
+    length and the words' document frequencies, if ``items`` are a part of them."""
 
-    def __init__(self, items: list, share: float):
+    def __init__(self, items: list, share: float, corpus: tuple | None = None):
         kept = [(i, q, a) for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0)) for q, a in [split_item(t or "")] if q or a]
         self.ids, self.parts = [k[0] for k in kept], [(q, a) for _, q, a in kept]
         bags = [Counter(q + a) for q, a in self.parts]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=0)
-        n, mean = len(bags), sum(lengths) / max(1, len(bags))
-        df = Counter(t for b in bags for t in b)
+        n, mean, self.longest, df = corpus or (len(bags), sum(lengths) / max(1, len(bags)), max(lengths, default=0), Counter(t for b in bags for t in b))
         idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
         lists: dict[str, list] = {}
         self.own, self.must, essential = [], [], {}
@@ -148,26 +153,53 @@ def contaminated(words: list[str], index: Index, least: float) -> dict[int, tupl
     return found
 
 
+def corpus_of(items: DataFrame, scratch: Scratch) -> tuple[tuple[int, float, int], DataFrame]:
+    """Number, mean length and longest length of all items that have words, and their distinct (item_id, text, word)."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(i, t, w, n) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (bag := Counter(item_words(t))) for w, n in bag.items()]
+            columns = list(zip(*found)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["item_id", "text", "word", "n"])
+
+    keyed = items.mapInArrow(work, "item_id long, text string, word string, n long")
+    words = scratch.table(keyed, "item-words")
+    # items that repeat both id and text are items of their own: their share of the words is counted as often as they come
+    times = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    lengths = words.groupBy("item_id", "text").agg(F.sum("n").alias("length")).join(times, [words["item_id"].eqNullSafe(times["item_id"]), words["text"] == times["text"]])
+    n, total, longest = lengths.agg(F.sum("times"), F.sum("length"), F.max(F.col("length") / F.col("times"))).first()
+    return (int(n or 0), (total or 0) / max(1, n or 0), int(longest or 0)), words
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.6, least: float = 0.8, max_chars: int = 16_000_000) -> DataFrame:
     """One row per (document, test item) found: doc_id, item_id, score, question_overlap, answer_overlap,
-    first_word (start of the passage).
+    first_word (start of the passage), text_key (a hash of the document's text).
 
     A passage retrieves an item if its BM25 score is at least ``share`` of the item's own; both its
     question's and its answer's shingle overlap must be at least ``least``. Null or empty texts and items
     match nothing. Null ids are carried. Repeated documents are rows of their own, repeated items too.
-    Items beyond ``max_chars`` characters are split into further blocks by id (df is counted by block);
-    one pass over the documents is made for each block.
+    Items beyond ``max_chars`` characters are split into further blocks by hash; one pass over the documents is made for
+    each. Document frequencies, the mean and the longest length are those of all items, so blocks change no score.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // max_chars))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("text_key"))
+    totals = words = None
+    if blocks > 1:
+        totals, words = corpus_of(items, Scratch(spark, "decontam"))
     out = None
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], share))  # about max_chars characters at most
+        part, corpus = items, None
+        if blocks > 1:
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            own = words.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("word").distinct()
+            corpus = (*totals, {r["word"]: r["df"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(own, "word").collect()})  # words of one block
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], share, corpus))  # about max_chars characters at most
 
         def work(batches, index=index):
             import pyarrow as pa
@@ -175,9 +207,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ix, schema = index.value, pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split() for c in RESULT.split(", "))])
             for b in batches:
                 found = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for doc, text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                     for item, (score, x, y, at) in sorted(contaminated(WORD.findall(text.lower()), ix, least).items()):
-                        found.append((doc, ix.ids[item], score, x, y, at))
+                        found.append((doc, ix.ids[item], score, x, y, at, key))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [[]] * len(schema), schema)], schema=schema)
 
         part_out = rows.mapInArrow(work, RESULT)
@@ -187,10 +219,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op10_decontam(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("score", F.round("score", 6))
+    return found.withColumn("score", F.round("score", 6)).drop("text_key")
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that hold a test item go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that hold a test item go, each row by its own text, so rows with null ids and repeated ids too. Null and empty
+    texts stay; an empty table, or benchmark, changes nothing."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == found["gone_key"]), "left_anti")

@@ -5,9 +5,8 @@ word-weight sums are fitted on a bounded sample of labelled documents. Every doc
 evidence logit. Hierarchy: the documents' probabilities are summed by host (``source``) and by path
 below it (``lang``) in grouped aggregation over all rows. A beta prior fitted to the hosts' means by
 moments shrinks sparse hosts toward the global rate, and each path shrinks toward its host with the
-same strength. The change of log odds from the global rate to the path's posterior is added to the
-document's evidence, at most ``LIMIT`` either way, so that a bad site tips doubtful documents and not
-clear ones."""
+same strength. What the path's posterior differs in log odds from the global rate is added to the
+document's evidence. Its own evidence is taken out of the sums first, so that it does not count twice."""
 
 from __future__ import annotations
 
@@ -15,17 +14,17 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, small_batches, table
 
 SAMPLE = 8_000  # labelled documents at most
 VOCABULARY = 4_000  # words with a weight, at most
-LIMIT = 1.0
+WEIGHT = 1.0  # of a site's log odds
 TARGETS = ("junk", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
-SCORES = "doc_id long, host string, path string, junk double, toxic double"
+SCORES = "doc_id long, row_key long, host string, path string, junk double, toxic double"
 
 
 def words(text: str) -> list[str]:
@@ -54,15 +53,14 @@ def shape(text: str, w: list[str]) -> list[float]:
     ]
 
 
-def evidence(text: str, weights: dict[str, tuple[float, float]]) -> tuple[list[float], ...]:
-    """Feature vectors for the targets: shape, then the sum, maximum and rate of the distinct words' weights."""
-    w = words(text)
-    base, found = shape(text, w), [weights[x] for x in set(w) & weights.keys()]
+def evidence(base: list[float], distinct, n: int, weights: dict[str, tuple[float, float]]) -> tuple[list[float], ...]:
+    """Feature vectors for the targets: shape, then the sum, maximum and rate of the distinct words' weights. ``n``: words in all."""
+    found = [weights[x] for x in weights.keys() & distinct]
     out = []
     for t in range(len(TARGETS)):
         v = [f[t] for f in found if f[t] > 0]
         s = sum(v)
-        out.append([*base, min(s, 30.0) / 5, max(v, default=0.0) / 3, min(len(v), 20) / 5, s / math.sqrt(max(1, len(w))), 1.0])
+        out.append([*base, min(s, 30.0) / 5, max(v, default=0.0) / 3, min(len(v), 20) / 5, s / math.sqrt(max(1, n)), 1.0])
     return tuple(out)
 
 
@@ -85,17 +83,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 4
 class Model:
     """Word weights and one logistic model a target."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        """``rows``: (text, junk, toxic), at most SAMPLE of them. The even rows (by place) weight words,
+    def __init__(self, rows: list[tuple[tuple, int, int]]):
+        """``rows``: ((shape, distinct words, words in all), junk, toxic), at most SAMPLE of them. The even rows (by place) weight words,
         the odd ones fit the models, so that words seen once don't count twice."""
         self.weights: dict[str, tuple[float, float]] = {}
         count: dict[str, list[int]] = {}
         totals = [0, [0, 0]]
-        for text, *y in rows[::2]:
+        for (_, distinct, _), *y in rows[::2]:
             totals[0] += 1
             totals[1][0] += y[0]
             totals[1][1] += y[1]
-            for x in set(words(text)):
+            for x in distinct:
                 c = count.setdefault(x, [0, 0, 0])
                 c[0] += 1
                 c[1] += y[0]
@@ -116,7 +114,7 @@ class Model:
                 scored.append((max(w) * math.log1p(c[0]), x, tuple(w)))
         self.weights = {x: w for _, x, w in sorted(scored, reverse=True)[:VOCABULARY]}
         self.fits = []
-        fit = [evidence(t, self.weights) for t, *_ in rows[1::2]]
+        fit = [evidence(base, set(distinct), k, self.weights) for (base, distinct, k), *_ in rows[1::2]]
         for t in range(len(TARGETS)):
             y = np.array([r[1 + t] for r in rows[1::2]], float)
             if len(fit) < 10 or y.min() == y.max():  # nothing to learn from: the rate alone
@@ -126,8 +124,8 @@ class Model:
                 self.fits.append((None, _logistic(np.array([f[t] for f in fit]), y)))
 
     def logits(self, text: str) -> list[float]:
-        out = []
-        for x, (rate, fit) in zip(evidence(text, self.weights), self.fits):
+        out, w = [], words(text)
+        for x, (rate, fit) in zip(evidence(shape(text, w), set(w), len(w), self.weights), self.fits):
             if fit is None:
                 out.append(rate)
             else:
@@ -136,17 +134,34 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on ``sample`` labelled documents, those of least id hash."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words_each: int = 20_000) -> Model:
+    """Fit on ``sample`` labelled documents, those of least id hash. Of an id that several rows hold the longest text counts
+    (of equally long ones the greatest). What comes to the driver of a text is its shape and its distinct words, at most ``words_each`` of
+    them, those of least hash; so texts of any length take part."""
     spark = docs.sparkSession
-    picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("junk"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    picked = picked.groupBy("doc_id").agg(F.max("junk").alias("junk"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = spark.createDataFrame(picked.collect(), "doc_id long, junk int, toxic int")  # at most ``sample`` rows
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "junk", "toxic")
-    # texts above 20,000 code points don't come to the driver, which keeps the sample's size bounded
-    rows = rows.where(F.length("text") <= 20_000).collect()
-    rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
-    return Model([(r["text"], r["junk"], r["toxic"]) for r in rows])
+    picked = labels.select(F.col("doc_id").cast("long").alias("picked_id"), (F.col("quality") == 0).cast("int").alias("y_junk"), F.col("toxic").cast("int").alias("y_toxic")).dropna()
+    picked = picked.groupBy("picked_id").agg(F.max("y_junk").alias("y_junk"), F.max("y_toxic").alias("y_toxic")).orderBy(F.xxhash64("picked_id"), "picked_id").limit(sample)
+    picked = spark.createDataFrame(picked.collect(), "picked_id long, y_junk int, y_toxic int")  # at most ``sample`` rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("picked_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "picked_id")
+    rows = rows.groupBy("picked_id", "y_junk", "y_toxic").agg(F.max(F.struct(F.length("text"), "text")).alias("t")).select("picked_id", "y_junk", "y_toxic", F.col("t.text").alias("text"))
+
+    def work(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            shapes, found, counts = [], [], []
+            for text in b.column(3).to_pylist():
+                w = words(text)
+                distinct = sorted(set(w), key=lambda x: (xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")), x))[:words_each]
+                shapes.append(shape(text, w))
+                found.append(distinct)
+                counts.append(len(w))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shapes, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=["picked_id", "y_junk", "y_toxic", "shape", "words", "n"])
+
+    found = rows.mapInArrow(work, "picked_id long, y_junk int, y_toxic int, shape array<double>, words array<string>, n long").collect()
+    found.sort(key=lambda r: (hash_of(r["picked_id"]), r["picked_id"]))
+    return Model([((r["shape"], r["words"], r["n"]), r["y_junk"], r["y_toxic"]) for r in found])
 
 
 def hash_of(x: int) -> int:
@@ -163,59 +178,75 @@ def score(docs: DataFrame, model: Model, host_col: str = "source", path_col: str
 
         m = held.value
         for b in batches:
-            found = [m.logits(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "host", "path", *TARGETS])
+            found = [m.logits(t) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=[c.split()[0] for c in SCORES.split(", ")])
+
+    host, path, text = parts_of(docs, host_col, path_col)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs, host_col, path_col).alias("row_key"), host.alias("host"), path.alias("path"), text.alias("text")).mapInArrow(work, SCORES)
 
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(host_col).alias("host"), text(path_col).alias("path"), text("text").alias("text")).mapInArrow(work, SCORES)
 
+def parts_of(docs: DataFrame, host_col: str, path_col: str) -> list[Column]:
+    return [F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in (host_col, path_col, "text")]
 
-def posteriors(scores: DataFrame) -> DataFrame:
-    """host, path, and for each target the shift of log odds. Sums meet map-side, so a hot host is one row a task."""
-    p = lambda t: 1 / (1 + F.exp(-F.col(t)))
-    paths = scores.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(p(t)).alias(t) for t in TARGETS])
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
+
+def row_key(docs: DataFrame, host_col: str = "source", path_col: str = "lang") -> Column:
+    """A hash of what a row is judged by."""
+    return F.xxhash64(*parts_of(docs, host_col, path_col))
+
+
+def probability(t: str) -> Column:
+    return 1 / (1 + F.exp(-F.col(t)))
+
+
+def sites(scores: DataFrame) -> DataFrame:
+    """host, path, and for each target the sums of probabilities by path and host, the global rate and the strength of the prior fitted to
+    the hosts' rates by moments. Sums meet map-side, so a hot host is one row a task."""
+    paths = scores.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(probability(t)).alias(f"path_{t}") for t in TARGETS])
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(f"path_{t}").alias(f"host_{t}") for t in TARGETS])
     # moments over hosts: mean rate m, variance v between hosts less what sampling explains
-    moments = hosts.agg(F.sum("host_n").alias("n"), F.count(F.lit(1)).alias("k"), F.avg(1 / F.col("host_n")).alias("inv"), *[F.sum(f"host_{t}").alias(f"all_{t}") for t in TARGETS], *[F.coalesce(F.var_pop(F.col(f"host_{t}") / F.col("host_n")), F.lit(0.0)).alias(f"var_{t}") for t in TARGETS])
-    joined = paths.join(hosts, "host").crossJoin(F.broadcast(moments))  # moments: one row
-    out = [F.col("host"), F.col("path")]
+    moments = hosts.agg(F.sum("host_n").alias("n_all"), F.avg(1 / F.col("host_n")).alias("inv"), *[F.sum(f"host_{t}").alias(f"all_{t}") for t in TARGETS], *[F.coalesce(F.var_pop(F.col(f"host_{t}") / F.col("host_n")), F.lit(0.0)).alias(f"var_{t}") for t in TARGETS])
+    out = paths.join(hosts, "host").crossJoin(F.broadcast(moments))  # moments: one row
     for t in TARGETS:
         m = (F.col(f"all_{t}") + 0.5) / (F.col("n_all") + 1)
         v = F.greatest(F.col(f"var_{t}") - m * (1 - m) * F.col("inv"), F.lit(1e-5))
-        strength = F.greatest(m * (1 - m) / v - 1, F.lit(2.0))
-        host = (F.col(f"host_{t}") + strength * m) / (F.col("host_n") + strength)
-        path = (F.col(t) + strength * host) / (F.col("n") + strength)
-        shift = F.log(path / (1 - path)) - F.log(m / (1 - m))
-        out.append(F.greatest(F.least(shift, F.lit(LIMIT)), F.lit(-LIMIT)).alias(f"{t}_shift"))
-    return joined.select("host", "path", paths["n"].alias("n"), "host_n", "inv", moments["n"].alias("n_all"), *[paths[t].alias(t) for t in TARGETS], *[f"host_{t}" for t in TARGETS], *[f"all_{t}" for t in TARGETS], *[f"var_{t}" for t in TARGETS]).select(*out)
+        out = out.withColumns({f"rate_{t}": m, f"strength_{t}": F.greatest(m * (1 - m) / v - 1, F.lit(2.0))})
+    return out.select("host", "path", "n", "host_n", *[f"{x}_{t}" for x in ("path", "host", "rate", "strength") for t in TARGETS])
+
+
+def shift(t: str) -> Column:
+    """Log odds that a document's site adds to its evidence: the path's posterior, shrunk to its host's, which is shrunk to the
+    global rate, both without the document itself, against the global rate."""
+    m, k, own = F.col(f"rate_{t}"), F.col(f"strength_{t}"), probability(t)
+    host = (F.greatest(F.col(f"host_{t}") - own, F.lit(0.0)) + k * m) / (F.col("host_n") - 1 + k)
+    path = (F.greatest(F.col(f"path_{t}") - own, F.lit(0.0)) + k * host) / (F.col("n") - 1 + k)
+    return F.log(path / (1 - path)) - F.log(m / (1 - m))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, host, path, p_junk, p_toxic, keep.
+def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, threshold: float = 0.5, weight: float = WEIGHT) -> DataFrame:
+    """One row per document: doc_id, row_key (a hash of host, path and text), host, path, p_junk, p_toxic, keep.
 
-    A document is rejected if either probability reaches ``threshold``. Null text counts as empty, null
-    host or path as ''. Without usable labels every document gets the smoothed rate of one half and the
-    decision to keep. Repeated rows are scored each. An empty table gives no rows.
+    A document is rejected if either probability reaches ``threshold``; ``weight`` is the share of the site's log odds that
+    counts. Null text counts as empty, null host or path as ''. Without usable labels every document gets the smoothed rate
+    of one half and the decision to keep. Repeated rows are scored each. Null ids are carried. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     model = train(docs, labels, sample)
     scores = scratch.table(score(docs, model, host_col, path_col), "scores")
-    shifts = scratch.table(posteriors(scores), "posteriors")
-    joined = scores.join(shifts, ["host", "path"], "left")
-    p = {t: 1 / (1 + F.exp(-(F.col(t) + F.coalesce(F.col(f"{t}_shift"), F.lit(0.0))))) for t in TARGETS}
-    known = [fit is not None for _, fit in model.fits]
+    joined = scores.join(scratch.table(sites(scores), "sites"), ["host", "path"], "left")
+    p = {t: 1 / (1 + F.exp(-(F.col(t) + weight * shift(t)))) for t in TARGETS}
     reject = F.lit(False)
-    for t, k in zip(TARGETS, known):
-        if k:
+    for t, (_, fit) in zip(TARGETS, model.fits):
+        if fit is not None:
             reject = reject | (p[t] >= threshold)
-    return joined.select("doc_id", "host", "path", *[p[t].alias(f"p_{t}") for t in TARGETS], (~reject).alias("keep"))
+    return joined.select("doc_id", "row_key", "host", "path", *[p[t].alias(f"p_{t}") for t in TARGETS], (~reject).alias("keep"))
 
 
 def op3_quality(spark, sf_dir):
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that the classifier rejects go."""
-    kept = classify(docs, table(spark, sf_dir, "labels")).where("NOT keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that the classifier rejects go. Each row is judged by its own text: repeated ids with other texts and rows
+    with null ids too; a null text counts as empty; an empty table stays empty. Columns may have any names."""
+    gone = classify(docs, table(spark, sf_dir, "labels")).where("NOT keep").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (row_key(docs) == gone["gone_key"]), "left_anti")
