@@ -1,59 +1,82 @@
 """Words that names and addresses are made comparable by."""
 
-# canonical form <- variants
-CANONICAL = {
-    "inc": ["incorporated"],
-    "corp": ["corporation"],
-    "co": ["company"],
-    "ltd": ["limited"],
-    "pvt": ["private"],
-    "cie": ["compagnie"],
-    "ste": ["societe", "sainte", "suite"],
-    "ets": ["etablissement", "etablissements"],
-    "ent": ["enterprise", "enterprises"],
-    "ind": ["industry", "industries"],
-    "intl": ["international"],
-    "tech": ["technology", "technologies"],
-    "svc": ["service", "services"],
-    "bros": ["brothers"],
-    "mfg": ["manufacturing"],
-    "assoc": ["associates"],
-    "sol": ["solution", "solutions"],
-    "sri": ["shree", "shri", "sree"],
-    "and": ["et", "und", "y"],
-    "st": ["street", "saint"],
-    "rd": ["road"],
-    "ave": ["avenue", "av"],
-    "blvd": ["boulevard", "bd"],
-    "dr": ["drive"],
-    "ln": ["lane"],
-    "pl": ["place"],
-    "hwy": ["highway"],
-    "pkwy": ["parkway"],
-    "ct": ["court"],
-    "sq": ["square"],
-    "ch": ["chemin"],
-    "rte": ["route"],
-    "imp": ["impasse"],
-    "all": ["allee"],
-    "fbg": ["faubourg"],
-    "fl": ["floor", "flr"],
-    "bldg": ["building"],
-    "apt": ["apartment", "appartement"],
-    "sec": ["sector"],
-    "ctr": ["centre", "center"],
-    "mt": ["mount"],
-    "dist": ["district"],
-    "no": ["number", "num"],
-    "nr": ["near"],
-    "opp": ["opposite"],
-    "n": ["north"],
-    "s": ["south"],
-    "e": ["east"],
-    "w": ["west"],
+# long forms and variants -> the form that stands for them
+SHORT = {
+    "incorporated": "inc",
+    "corporation": "corp",
+    "company": "co",
+    "limited": "ltd",
+    "private": "pvt",
+    "compagnie": "cie",
+    "societe": "ste",
+    "sainte": "ste",
+    "suite": "ste",
+    "etablissement": "ets",
+    "etablissements": "ets",
+    "enterprise": "ent",
+    "enterprises": "ent",
+    "industry": "ind",
+    "industries": "ind",
+    "international": "intl",
+    "technology": "tech",
+    "technologies": "tech",
+    "service": "svc",
+    "services": "svc",
+    "brothers": "bros",
+    "manufacturing": "mfg",
+    "associates": "assoc",
+    "solution": "sol",
+    "solutions": "sol",
+    "shree": "sri",
+    "shri": "sri",
+    "sree": "sri",
+    "et": "and",
+    "und": "and",
+    "y": "and",
+    "street": "st",
+    "saint": "st",
+    "road": "rd",
+    "avenue": "ave",
+    "av": "ave",
+    "boulevard": "blvd",
+    "bd": "blvd",
+    "drive": "dr",
+    "lane": "ln",
+    "place": "pl",
+    "highway": "hwy",
+    "parkway": "pkwy",
+    "court": "ct",
+    "square": "sq",
+    "chemin": "ch",
+    "route": "rte",
+    "impasse": "imp",
+    "allee": "all",
+    "faubourg": "fbg",
+    "floor": "fl",
+    "flr": "fl",
+    "building": "bldg",
+    "apartment": "apt",
+    "appartement": "apt",
+    "sector": "sec",
+    "centre": "ctr",
+    "center": "ctr",
+    "mount": "mt",
+    "district": "dist",
+    "number": "no",
+    "num": "no",
+    "near": "nr",
+    "opposite": "opp",
+    "north": "n",
+    "south": "s",
+    "east": "e",
+    "west": "w",
 }
-LEGAL = "inc corp co ltd pvt llc llp lp plc pllc pte opc sarl sas sasu sa eurl sci snc scop selarl gmbh ag bv srl spa cie ste ets".split()
-NAME_STOP = "and the of de du des la le les l d s".split()
-LANDMARK = "nr opp behind beside next adjacent facing pres cote vis".split()
 
-SHORT = {v: c for c, vs in CANONICAL.items() for v in vs}
+# legal forms
+LEGAL = ("inc", "corp", "co", "ltd", "pvt", "llc", "llp", "lp", "plc", "pllc", "pte", "opc", "sarl", "sas", "sasu", "sa", "eurl", "sci", "snc", "scop", "selarl", "gmbh", "ag", "bv", "srl", "spa", "cie", "ste", "ets")
+
+# words that a name's core leaves out
+NAME_STOP = ("and", "the", "of", "de", "du", "des", "la", "le", "les", "l", "d", "s")
+
+# words that announce a landmark
+LANDMARK = ("nr", "opp", "behind", "beside", "next", "adjacent", "facing", "pres", "cote", "vis")

@@ -1,4 +1,4 @@
-"""Names and addresses as comparable tokens. All but the accent strip of non-ASCII text is in Column expressions."""
+"""Names and addresses as comparable tokens, in Column expressions; only the accent strip of texts that are not ASCII runs in Python."""
 
 from __future__ import annotations
 
@@ -23,12 +23,14 @@ def _fold(s: pd.Series) -> pd.Series:
 
 
 def strip_accents(c: Column) -> Column:
-    return _fold(c)
+    """``fold`` of the texts that have anything to fold; the others go to no worker but as nulls."""
+    return F.coalesce(_fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def tokens(folded: Column) -> Column:
     """Tokens of text that has been through ``strip_accents``; null gives none."""
     s = F.lower(F.coalesce(folded, F.lit("")))
+    # fixed values: the three patterns
     s = F.regexp_replace(s, r"(?U)\bm\s*/\s*s\b", " ")
     s = F.regexp_replace(s, "&", " and ")
     s = F.regexp_replace(s, "['’]", " ")
@@ -46,7 +48,7 @@ def merge_initials(words: Column) -> Column:
 
 def normalize_records(raw: DataFrame) -> DataFrame:
     """raw: entity_id, src, business_name, business_address, country -> the 15 record columns, and the raw texts."""
-    base = raw.select("entity_id", "src", F.coalesce("business_name", F.lit("")).alias("raw_name"), F.coalesce("business_address", F.lit("")).alias("raw_addr"), F.coalesce("country", F.lit("")).alias("country"))
+    base = raw.select("entity_id", "src", *[c for c in ("_order",) if c in raw.columns], F.coalesce("business_name", F.lit("")).alias("raw_name"), F.coalesce("business_address", F.lit("")).alias("raw_addr"), F.coalesce("country", F.lit("")).alias("country"))
     base = base.select("*", strip_accents(F.col("raw_name")).alias("_n"), strip_accents(F.col("raw_addr")).alias("_a"))
     base = base.withColumn("nt", merge_initials(tokens(F.col("_n")))).withColumn("at", tokens(F.col("_a"))).drop("_n", "_a")
     core = F.filter("nt", lambda t: ~t.isin(*LEGAL, *NAME_STOP))
@@ -72,6 +74,7 @@ def normalize_records(raw: DataFrame) -> DataFrame:
         F.exists("at", lambda t: t.isin(*LANDMARK)).cast("int").alias("landmark"),
         "raw_name",
         "raw_addr",
+        *[c for c in ("_order",) if c in raw.columns],
     )
 
 

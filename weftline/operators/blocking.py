@@ -16,12 +16,57 @@ from .corpus import PLACES
 FLAGS = ("f_name", "f_full", "f_zip", "f_rev", "f_emb")
 
 
-def pair_scores(posts: DataFrame) -> DataFrame:
-    """country, src, s1, cand, sim for every pair that shares a kept gram."""
-    a = posts.where("side = 's1'").select("country", "src", "gram", F.col("entity_id").alias("s1"), F.col("weight").alias("w1"))
-    b = posts.where("side = 'target'").select("country", "src", "gram", F.col("entity_id").alias("cand"), F.col("weight").alias("w2"))
-    sums = a.join(b, ["country", "src", "gram"]).groupBy("country", "src", "s1", "cand").agg(F.round(F.sum(F.col("w1") * F.col("w2")), PLACES).alias("sim"))
-    return sums.where("sim > 0")
+def block_topk(posts: DataFrame, k: int, back: bool = False, size: int = 1 << 16) -> DataFrame:
+    """country, src, s1, cand, sim: each S1 record's ``k`` best targets (``back``: each target's S1 records) of every block, and those as good
+    as the last of them. ``posts``: country, src, side, entity_id, gram, weight.
+
+    Both sides are cut into blocks of at most about ``size`` records. A block of one side is an inverted index in memory, by which the
+    records of the other are scored one at a time, so no pair leaves the task unless it is among the best.
+    """
+    import numpy as np
+
+    n = posts.groupBy("country", "src", "side").agg(F.approx_count_distinct("entity_id").alias("n"))
+    sides = n.groupBy("country", "src").agg(*[F.max(F.when(F.col("side") == s, F.ceil(F.col("n") / size))).cast("int").alias(f"blocks_{s}") for s in ("s1", "target")]).dropna()
+    block = lambda c: F.pmod(F.xxhash64("entity_id"), F.col(f"blocks_{c}")).cast("int")
+    other = lambda c: F.sequence(F.lit(0), F.col(f"blocks_{c}") - 1)
+    rows = posts.join(F.broadcast(sides), ["country", "src"]).withColumn("is_s1", F.col("side") == "s1")  # a row a country and source
+    rows = rows.select("country", "src", "is_s1", "entity_id", "gram", "weight", F.when(F.col("is_s1"), block("s1")).otherwise(block("target")).alias("own"), F.explode(F.when(F.col("is_s1"), other("target")).otherwise(other("s1"))).alias("opposite"))
+    rows = rows.select("country", "src", F.when(F.col("is_s1"), F.col("own")).otherwise(F.col("opposite")).alias("block_s1"), F.when(F.col("is_s1"), F.col("opposite")).otherwise(F.col("own")).alias("block_target"), "is_s1", "entity_id", "gram", "weight")
+
+    def work(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def side(is_s1):
+            t = table.filter(pc.equal(table["is_s1"], is_s1))
+            codes = pc.index_in(t["gram"].combine_chunks(), value_set=grams).to_numpy(zero_copy_only=False)
+            names = t["entity_id"].combine_chunks().dictionary_encode()
+            return codes, names.indices.to_numpy(zero_copy_only=False), t["weight"].to_numpy(), names.dictionary
+
+        grams = pc.unique(table["gram"])
+        q, t = side(not back), side(back)
+        a, b, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(q[0]) and len(t[0]):
+            order = np.argsort(t[0], kind="stable")
+            list_at, list_row, list_weight = np.searchsorted(t[0][order], np.arange(len(grams) + 1)), t[1][order], t[2][order]
+            order = np.argsort(q[1], kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(q[1][order])) + 1):
+                lists = [slice(list_at[g], list_at[g + 1]) for g in q[0][part].tolist()]
+                hits = np.concatenate([list_row[x] for x in lists])
+                found = np.bincount(hits, np.concatenate([list_weight[x] * w for x, w in zip(lists, q[2][part].tolist())]), len(t[3]))
+                near = np.flatnonzero(found)
+                if len(near) > k:
+                    near = near[found[near] >= np.partition(found[near], -k)[-k] - 2 * 10.0**-PLACES]  # ties after rounding too
+                a.append(np.full(len(near), q[1][part[0]]))
+                b.append(near)
+                sims.append(found[near])
+        a, b = q[3].take(pa.array(np.concatenate(a))), t[3].take(pa.array(np.concatenate(b)))
+        m = len(a)
+        s1, cand = (b, a) if back else (a, b)
+        return pa.table({"country": pa.array([key[0].as_py()] * m, pa.string()), "src": pa.array([key[1].as_py()] * m, pa.string()), "s1": s1.cast(pa.string()), "cand": cand.cast(pa.string()), "sim": np.concatenate(sims)})
+
+    found = rows.groupBy("country", "src", "block_s1", "block_target").applyInArrow(work, "country string, src string, s1 string, cand string, sim double")
+    return found.withColumn("sim", F.round("sim", PLACES)).where("sim > 0")
 
 
 def top_k(scores: DataFrame, by: list[str], k: int, tie: str) -> DataFrame:
@@ -30,13 +75,13 @@ def top_k(scores: DataFrame, by: list[str], k: int, tie: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def forward(scores: DataFrame, k: int) -> DataFrame:
-    return top_k(scores, ["src", "s1"], k, "cand")
+def forward(posts: DataFrame, k: int) -> DataFrame:
+    return top_k(block_topk(posts, k), ["src", "s1"], k, "cand")
 
 
-def reverse(scores: DataFrame, k: int = 3, above: float = 0.2) -> DataFrame:
+def reverse(posts: DataFrame, k: int = 3, above: float = 0.2) -> DataFrame:
     """Each target's k best S1 records with a score strictly above ``above``."""
-    return top_k(scores, ["src", "cand"], k, "s1").where(F.col("sim") > above)
+    return top_k(block_topk(posts, k, back=True), ["src", "cand"], k, "s1").where(F.col("sim") > above)
 
 
 def key_block(records: DataFrame, most: int = 50) -> DataFrame:
@@ -49,15 +94,15 @@ def key_block(records: DataFrame, most: int = 50) -> DataFrame:
     return keyed.where("src <> 'S1'").select(*key, "src", F.col("entity_id").alias("cand")).join(s1, key).select("country", "src", "s1", "cand")
 
 
-def dense_scores(vectors: DataFrame, above: float) -> DataFrame:
-    """Exact cosine of unit vectors within a partition. ``vectors``: part, side ('q' or 't'), id, vec.
+def dense_scores(vectors: DataFrame, k: int, above: float, back: bool = False, size: int = 8192) -> DataFrame:
+    """Exact cosine of unit vectors within a partition: the ``k`` best targets of each query (``back``: queries of each target) in every block
+    and those as good as the last. ``vectors``: part, side ('q' or 't'), id, vec.
 
-    Each side is cut into blocks of rows and a block of queries meets a block of targets as one matrix
-    product, so what is shuffled are blocks and what is held are two of them.
+    Each side is cut into blocks of about ``size`` rows and a block of queries meets a block of targets as one matrix
+    product, so what is shuffled are blocks, what is held are two of them, and what comes out are the best pairs.
     """
     import numpy as np
 
-    size = 2048
     n = vectors.groupBy("part", "side").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     sides = n.groupBy("part").agg(*[F.max(F.when(F.col("side") == s, F.col("blocks"))).alias(s) for s in "qt"]).dropna()
     both = vectors.join(sides, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == "q", F.col("q")).otherwise(F.col("t"))).cast("int"))
@@ -72,7 +117,10 @@ def dense_scores(vectors: DataFrame, above: float) -> DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame({"part": [], "q": [], "t": [], "sim": []})
         sims = np.stack(q["vec"].to_numpy()).astype("float64") @ np.stack(t["vec"].to_numpy()).astype("float64").T
-        i, j = np.nonzero(sims >= above - 1e-6)
+        least = np.full((1, 1), above - 1e-6)
+        if sims.shape[0 if back else 1] > k:
+            least = np.maximum(least, (np.partition(sims, -k, 0)[-k][None, :] if back else np.partition(sims, -k, 1)[:, [-k]]) - 2 * 10.0**-PLACES)
+        i, j = np.nonzero(sims >= least)
         return pd.DataFrame({"part": str(key[0]), "q": q["id"].to_numpy()[i], "t": t["id"].to_numpy()[j], "sim": sims[i, j]})
 
     found = dealt.groupBy("part", "bq", "bt").applyInPandas(work, "part string, q string, t string, sim double")
@@ -83,7 +131,7 @@ def dense_topk(vectors: DataFrame, k: int = 15, above: float = 0.75, back: bool
     """The k best targets of each query with at least ``above``, or (``back``) queries of each target."""
     one, two = ("t", "q") if back else ("q", "t")
     order = W.partitionBy("part", one).orderBy(F.desc("sim"), two)
-    return dense_scores(vectors, above).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return dense_scores(vectors, k, above, back).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def union_candidates(found: dict[str, DataFrame]) -> DataFrame:
@@ -93,10 +141,16 @@ def union_candidates(found: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("country", "s1", "cand").agg(*[F.max((F.col("flag") == f).cast("int")).alias(f) for f in FLAGS])
 
 
-def rescore(candidates: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
-    """Every candidate gets each view's score, 0 where no kept gram is shared. ``scores``: column -> pair scores."""
-    for name, s in scores.items():
-        candidates = candidates.join(s.select("s1", "cand", F.col("sim").alias(name)), ["s1", "cand"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def rescore(candidates: DataFrame, posts: dict[str, DataFrame]) -> DataFrame:
+    """Every candidate gets each view's score, 0 where no kept gram is shared. ``posts``: column -> postings of that view."""
+    for name, p in posts.items():
+        vector = F.map_from_entries(F.collect_list(F.struct("gram", "weight")))  # the kept grams of one record
+        a = p.where("side = 's1'").groupBy("src", F.col("entity_id").alias("s1")).agg(vector.alias("_a"))
+        b = p.where("side = 'target'").groupBy("src", F.col("entity_id").alias("cand")).agg(F.collect_list(F.struct("gram", "weight")).alias("_b"))
+        pairs = candidates.select("s1", "cand").distinct().join(b, "cand").join(a, ["src", "s1"])
+        dot = F.aggregate("_b", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.coalesce(F.element_at("_a", x["gram"]), F.lit(0.0)))
+        scored = pairs.select("s1", "cand", F.round(dot, PLACES).alias(name))
+        candidates = candidates.join(scored, ["s1", "cand"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return candidates
 
 
@@ -107,13 +161,13 @@ def cap_candidates(candidates: DataFrame, most: int = 50) -> DataFrame:
     return ranked.where(F.col("_r") <= most).drop("_r").withColumn("cos_emb", F.coalesce("cos_emb", F.lit(0.0)))
 
 
-def generate_candidates(records: DataFrame, name_scores: DataFrame, full_scores: DataFrame, dense: DataFrame | None = None, k_name: int = 10, k_full: int = 10, k_rev: int = 3, most: int = 50) -> DataFrame:
+def generate_candidates(records: DataFrame, name_posts: DataFrame, full_posts: DataFrame, dense: DataFrame | None = None, k_name: int = 10, k_full: int = 10, k_rev: int = 3, most: int = 50) -> DataFrame:
     """All blockers, their union, exact scores and the cap. ``dense``: country, s1, cand, cos_emb."""
-    back = reverse(name_scores, k_rev).unionByName(reverse(full_scores, k_rev))
-    found = {"f_name": forward(name_scores, k_name), "f_full": forward(full_scores, k_full), "f_rev": back, "f_zip": key_block(records)}
+    back = reverse(name_posts, k_rev).unionByName(reverse(full_posts, k_rev))
+    found = {"f_name": forward(name_posts, k_name), "f_full": forward(full_posts, k_full), "f_rev": back, "f_zip": key_block(records)}
     if dense is not None:
         found["f_emb"] = dense
-    c = rescore(union_candidates(found), {"cos_name": name_scores, "cos_full": full_scores})
+    c = rescore(union_candidates(found), {"cos_name": name_posts, "cos_full": full_posts})
     if dense is not None:
         c = c.join(dense.groupBy("s1", "cand").agg(F.max("cos_emb").alias("cos_emb")), ["s1", "cand"], "left")
     else:

@@ -6,6 +6,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_records
 from ..operators import blocking, corpus, decide, evaluate, features, model
@@ -31,7 +32,8 @@ class Workspace:
 
         root = root or spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
-            root = tempfile.mkdtemp(prefix="weftline-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+            master = spark.sparkContext.master
+            root = tempfile.mkdtemp(prefix="weftline-") if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
         self.spark, self.root = spark, f"{root.rstrip('/')}/linkage-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -43,11 +45,11 @@ class Workspace:
 def prepare(raw: DataFrame, ws: Workspace, o: Options = Options(), tag: str = "train", dense: DataFrame | None = None, probs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, features) of one split; all statistics are fitted on that split."""
     recs = ws.keep(normalize_records(raw), f"{tag}-records")
-    scores = {v: ws.keep(blocking.pair_scores(ws.keep(corpus.postings(recs, v, o.max_doc_freq), f"{tag}-postings-{v}")), f"{tag}-scores-{v}") for v in ("name", "full")}
+    posts = {v: ws.keep(corpus.postings(recs, v, o.max_doc_freq), f"{tag}-postings-{v}") for v in ("name", "full")}
     if dense is not None:
         s1 = recs.selectExpr("entity_id AS s1", "country")
         dense = io.map_pair_scores(dense, recs).join(s1, "s1")
-    cands = ws.keep(blocking.generate_candidates(recs, scores["name"], scores["full"], dense, o.k_name, o.k_full, o.k_rev, o.max_cands), f"{tag}-candidates")
+    cands = ws.keep(blocking.generate_candidates(recs, posts["name"], posts["full"], dense, o.k_name, o.k_full, o.k_rev, o.max_cands), f"{tag}-candidates")
     feats = features.build_features(cands, recs, corpus.token_idf(recs), corpus.default_idf(recs), corpus.name_frequency(recs))
     if probs is not None:
         feats = features.attach_pair_probabilities(feats, probs)
@@ -61,16 +63,24 @@ def cross_validate(raw: DataFrame, gold: DataFrame, ws: Workspace, o: Options =
     rows = ws.keep(model.assemble(model.folds(model.label(feats, gold), o.folds), names).select("s1", "cand", "country", "y", "fold", "features"), "rows")
     oof, _, models = model.out_of_fold(rows, o.folds, rounds=o.rounds)
     oof = ws.keep(oof, "oof")
-    s1 = recs.where("src = 'S1'").selectExpr("entity_id AS s1", "country")
+    s1 = s1_ids(recs).select("s1", "country")
     decision = decide.search_decisions(oof, gold, s1)
     preds = ws.keep(decide.run_decision(oof, decision), "predictions")
-    return {"decision": decision, "models": models, "names": names, "oof": oof, "predictions": preds, "report": evaluate.score_report(preds, gold, s1), "recall": evaluate.blocking_recall(feats, gold), "ceiling": evaluate.ceiling(feats, gold, s1), "rows": rows, "s1": s1}
+    return {"decision": decision, "models": models, "names": names, "oof": oof, "predictions": preds, "report": evaluate.score_report(preds, gold, s1), "recall": evaluate.blocking_recall(feats, gold), "ceiling": evaluate.ceiling(feats, gold, s1), "rows": rows, "features": feats, "s1": s1}
 
 
-def full(raw_train: DataFrame, gold: DataFrame, raw_test: DataFrame, out: str, ws: Workspace, o: Options = Options()):
-    """Train, score the test split by the fold models' mean, decide and write both id-list files."""
-    cv = cross_validate(raw_train, gold, ws, o)
-    recs, feats = prepare(raw_test, ws, o, tag="test")
+def s1_ids(recs: DataFrame) -> DataFrame:
+    """s1, country of the S1 records, and their order in the file where it is known."""
+    return recs.where("src = 'S1'").select(F.col("entity_id").alias("s1"), "country", *[c for c in (io.ORDER,) if c in recs.columns])
+
+
+def full(raw_train: DataFrame, gold: DataFrame, raw_test: DataFrame, out: str, ws: Workspace, o: Options = Options(), train_inputs: dict | None = None, test_inputs: dict | None = None):
+    """Train, score the test split by the fold models' mean, decide and write both id-list files and both score dumps. ``train_inputs``,
+    ``test_inputs``: each split's dense candidates and pair probabilities (see ``prepare``), where there are any."""
+    cv = cross_validate(raw_train, gold, ws, o, **(train_inputs or {}))
+    recs, feats = prepare(raw_test, ws, o, tag="test", **(test_inputs or {}))
+    if "p_xenc" in cv["names"] and "p_xenc" not in feats.columns:
+        feats = features.attach_pair_probabilities(feats, feats.select("s1", "cand", F.lit(None).cast("double").alias("p_xenc")).limit(0))
     parts = [model.predict(m, model.assemble(feats, cv["names"])) for m in cv["models"]]
     scored = parts[0]
     for p in parts[1:]:
@@ -80,12 +90,25 @@ def full(raw_train: DataFrame, gold: DataFrame, raw_test: DataFrame, out: str, w
     bad = io.output_violations(preds, scored, recs).first()
     if bad["unknown_ids"] or bad["not_candidates"]:
         raise ValueError(f"predictions break the output's rules: {bad}")
-    s1 = recs.where("src = 'S1'").selectExpr("entity_id AS s1", "country")
-    io.write_tsv(io.id_lists(s1, scored, "candidate_entity_ids"), f"{out}/candidate_pairs", single=True)
-    io.write_tsv(io.id_lists(s1, preds, "matched_entity_ids"), f"{out}/matching_results", single=True)
+    s1 = s1_ids(recs)
+    io.write_tsv_file(io.id_lists(s1, scored, "candidate_entity_ids"), f"{out}/candidate_pairs.tsv")
+    io.write_tsv_file(io.id_lists(s1, preds, "matched_entity_ids"), f"{out}/matching_results.tsv")
+    io.write_tsv_file(cv["oof"].select("s1", "cand", "p"), f"{out}/oof_train.tsv")
+    io.write_tsv_file(scored.select("s1", "cand", "p"), f"{out}/test_scores.tsv")
     return evaluate.match_rate(preds, s1)
 
 
+def outside_inputs(spark: SparkSession, dense: str | None, probs: str | None) -> dict:
+    """What ``prepare`` takes of files that other programs wrote; a path that is not given or not there gives nothing."""
+    found = {}
+    for key, path, score in (("dense", dense, "cos_emb"), ("probs", probs, "p_xenc")):
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+                found[key] = io.read_pair_scores(spark, path, score)
+    return found
+
+
 def main(argv=None):
     import argparse
 
@@ -97,24 +120,26 @@ def main(argv=None):
     p.add_argument("--loco", action="store_true")
     for name, value in (("folds", 5), ("k-name", 10), ("k-full", 10), ("k-rev", 3), ("max-cands", 50), ("max-trigram-doc-freq", 5000)):
         p.add_argument(f"--{name}", type=int, default=value)
-    p.add_argument("--embed-candidates-train")
-    p.add_argument("--xenc-train-probs")
+    for split in ("train", "test"):
+        p.add_argument(f"--embed-candidates-{split}")
+        p.add_argument(f"--xenc-{split}-probs")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("weftline").getOrCreate()
     o, ws = Options(a.k_name, a.k_full, a.k_rev, a.max_cands, a.max_trigram_doc_freq, a.folds), Workspace(spark, a.work)
     gold = io.explode_gold(io.read_gold(spark, f"{a.data}/train/train_ground_truth.tsv"))
     train = io.load_split(spark, a.data, "train")
+    extra = {split: outside_inputs(spark, getattr(a, f"embed_candidates_{split}"), getattr(a, f"xenc_{split}_probs")) for split in ("train", "test")}
     if a.mode == "full":
-        full(train, gold, io.load_split(spark, a.data, "test"), a.output, ws, o).show()
+        full(train, gold, io.load_split(spark, a.data, "test"), a.output, ws, o, extra["train"], extra["test"]).show()
         return
-    extra = {}
-    if a.embed_candidates_train:
-        extra["dense"] = io.read_pair_scores(spark, a.embed_candidates_train, "cos_emb")
-    if a.xenc_train_probs:
-        extra["probs"] = io.read_pair_scores(spark, a.xenc_train_probs, "p_xenc")
-    cv = cross_validate(train, gold, ws, o, **extra)
+    cv = cross_validate(train, gold, ws, o, **extra["train"])
+    io.write_tsv_file(cv["oof"].select("s1", "cand", "p"), f"{a.output}/oof_train.tsv")
     for k in ("recall", "report", "ceiling"):
         cv[k].show()
+    if a.xenc_train_probs:
+        evaluate.scorer_coverage(cv["features"]).show()
+    for name, gain in model.importances(cv["models"], cv["names"])[:40]:
+        print(f"{name}\t{gain:.4f}")
     if a.loco:
         for value, scored in model.leave_one_out(cv["rows"]):
             only = cv["s1"].where(cv["s1"]["country"] == value)

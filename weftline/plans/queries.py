@@ -26,8 +26,58 @@ def normalize_names(spark, d):
     return Biz(spark, d).records().select(*_text(*RECORD))
 
 
+def _files(spark, d):
+    """The derived data set as the files of a split, in a folder of its own."""
+    from .linkage import Workspace
+
+    folder, raw = Workspace(spark).root, Biz(spark, d).raw()
+    for k in (1, 2, 3):
+        io.write_tsv_file(raw.where(f"src = 'S{k}'").drop("src"), f"{folder}/train/train_source{k}.tsv")
+    return folder
+
+
 def split_scan(spark, d):
-    return Biz(spark, d).raw()
+    return io.load_split(spark, _files(spark, d), "train").drop(io.ORDER)
+
+
+def scan_integrity(spark, d):
+    folder = _files(spark, d)
+    return biz.union([io.scan_integrity(spark, f"{folder}/train/train_source{k}.tsv").withColumn("src", F.lit(f"S{k}")) for k in (1, 2, 3)])
+
+
+def gold_scan(spark, d):
+    from .linkage import Workspace
+
+    b, path = Biz(spark, d), Workspace(spark).root + "/gold.tsv"
+    io.write_tsv_file(io.id_lists(b.s1(), b.gold().withColumn("p", F.lit(1.0)), "matched_entity_ids"), path)
+    return io.explode_gold(io.read_gold(spark, path))
+
+
+def _score_file(spark, d, score):
+    from .linkage import Workspace
+
+    path = f"{Workspace(spark).root}/{score}.tsv"
+    table = io.scores_table(Biz(spark, d).scored().withColumnRenamed("p", score), score)
+    io.write_tsv_file(table, path)
+    return io.read_pair_scores(spark, path, score)
+
+
+def pair_probability_scan(spark, d):
+    return _score_file(spark, d, "p_xenc")
+
+
+def embedding_scan(spark, d):
+    return io.map_pair_scores(_score_file(spark, d, "cos_emb"), Biz(spark, d).records())
+
+
+def embedding_writer(spark, d):
+    return io.embedding_table(Biz(spark, d).scored().withColumnRenamed("p", "cos_emb"))
+
+
+def pair_texts(spark, d):
+    from ..functions.normalize import entity_text
+
+    return Biz(spark, d).records().select("entity_id", entity_text("pair").alias("pair_text"))
 
 
 def load_summary(spark, d):
@@ -54,20 +104,27 @@ def prune_grams(spark, d):
     return corpus.postings(Biz(spark, d).records(), "name", 200).groupBy("country", "src", "side").agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("gram").alias("grams"))
 
 
-def _scores(spark, d, view):
-    return blocking.pair_scores(corpus.postings(Biz(spark, d).records(), view, CAP))
+def _posts(spark, d, view):
+    return corpus.postings(Biz(spark, d).records(), view, CAP)
+
+
+def _kept(spark, d, view):
+    """Postings as a written table, for plans that read them several times."""
+    from .linkage import Workspace
+
+    return Workspace(spark).keep(_posts(spark, d, view), f"postings-{view}")
 
 
 def sparse_topk_name(spark, d):
-    return blocking.forward(_scores(spark, d, "name"), 10).select("country", "src", "s1", "cand", "sim", "rank")
+    return blocking.forward(_posts(spark, d, "name"), 10).select("country", "src", "s1", "cand", "sim", "rank")
 
 
 def sparse_topk_full(spark, d):
-    return blocking.forward(_scores(spark, d, "full"), 10).select("country", "src", "s1", "cand", "sim", "rank")
+    return blocking.forward(_posts(spark, d, "full"), 10).select("country", "src", "s1", "cand", "sim", "rank")
 
 
 def sparse_topk_rev(spark, d):
-    return blocking.reverse(_scores(spark, d, "name")).select("country", "src", "s1", "cand", "sim", "rank")
+    return blocking.reverse(_posts(spark, d, "name")).select("country", "src", "s1", "cand", "sim", "rank")
 
 
 def key_block(spark, d):
@@ -87,19 +144,37 @@ def dense_topk_rev(spark, d):
     return blocking.dense_topk(_vectors(spark, d), 5, 0.2, back=True).select("q", "t", "sim", "rank")
 
 
-def _candidates(spark, d, view="full"):
+def _candidates(spark, d, dense=None):
+    recs = Biz(spark, d).records()
+    return recs, blocking.generate_candidates(recs, _kept(spark, d, "name"), _kept(spark, d, "full"), dense)
+
+
+def candidate_union_dense(spark, d):
+    """The same with dense candidates of an outside file."""
     b = Biz(spark, d)
-    recs = b.records()
-    return recs, blocking.generate_candidates(recs, _scores(spark, d, "name"), _scores(spark, d, "full"))
+    dense = embedding_candidates(spark, d).join(b.s1(), "s1")
+    return _candidates(spark, d, dense)[1].select("country", "s1", "cand", *blocking.FLAGS, "cos_name", "cos_full", "cos_emb")
 
 
 def candidate_union_cap(spark, d):
     return _candidates(spark, d)[1].select("country", "s1", "cand", *blocking.FLAGS, "cos_name", "cos_full", "cos_emb")
 
 
-def _key_pairs(spark, d):
-    recs = Biz(spark, d).records()
-    return recs, features.attach_records(blocking.key_block(recs).select("country", "s1", "cand"), recs)
+def _pairs(spark, d):
+    from .linkage import Workspace
+
+    recs, found = _candidates(spark, d)
+    return recs, features.attach_records(Workspace(spark).keep(found.select("country", "s1", "cand"), "candidates"), recs)
+
+
+def name_frequency_attach(spark, d):
+    recs, pairs = _pairs(spark, d)
+    return features.attach_name_frequency(pairs, corpus.name_frequency(recs)).select("s1", "cand", F.col("s1_name_freq").cast("long").alias("s1_name_freq"))
+
+
+def combo(spark, d):
+    s = Biz(spark, d).scored().select("s1", "cand", F.col("p").alias("cos_full"), F.round(F.col("p") * 100, 3).alias("n_tset"), F.round(F.col("p") * 50, 3).alias("a_tset"))
+    return features.with_combo(s).select("s1", "cand", "combo")
 
 
 SETS = ("n_lev", "n_jacc", "n_first_eq", "n_acronym", "n_len1", "n_len2", "legal_conflict", "name_digit_conflict", "a_jacc", "zip_eq", "zip_prefix_eq", "num_jacc", "a_len1", "a_len2", "landmark1", "landmark2", "is_s3")
@@ -107,12 +182,12 @@ FLOATS = ("n_lev", "n_jacc", "a_jacc", "num_jacc")
 
 
 def pair_features_sets(spark, d):
-    out = features.set_features(_key_pairs(spark, d)[1])
+    out = features.set_features(_pairs(spark, d)[1])
     return out.select("s1", "cand", *[F.round(c, 6).alias(c) if c in FLOATS else F.col(c) for c in SETS])
 
 
 def pair_features_idf(spark, d):
-    recs, pairs = _key_pairs(spark, d)
+    recs, pairs = _pairs(spark, d)
     out = features.idf_features(pairs, corpus.token_idf(recs), corpus.default_idf(recs))
     return out.select("s1", "cand", *[F.round(c, 6).alias(c) for c in ("n_idf", "n_idf_unmatched_max", "a_idf", "a_idf_unmatched_max")])
 
@@ -120,11 +195,11 @@ def pair_features_idf(spark, d):
 def pair_features_jaro_winkler(spark, d):
     from ..functions.textsim import kernel
 
-    return _key_pairs(spark, d)[1].select("s1", "cand", F.round(kernel("jaro_winkler")("name_core1", "name_core2"), 6).alias("n_jw"))
+    return _pairs(spark, d)[1].select("s1", "cand", F.round(kernel("jaro_winkler")("name_core1", "name_core2"), 6).alias("n_jw"))
 
 
 def pair_features_kernels(spark, d):
-    return features.kernel_features(_key_pairs(spark, d)[1]).select("s1", "cand", "n_ratio", "n_pratio", "n_tset", "n_tsort", "n_jw", "n_full_tset", "a_ratio", "a_pratio", "a_tset", "a_tsort", "name_in_addr")
+    return features.kernel_features(_pairs(spark, d)[1]).select("s1", "cand", "n_ratio", "n_pratio", "n_tset", "n_tsort", "n_jw", "n_full_tset", "a_ratio", "a_pratio", "a_tset", "a_tsort", "name_in_addr")
 
 
 def context_features(spark, d):
@@ -210,6 +285,30 @@ def match_rate(spark, d):
     return evaluate.match_rate(decide.decide_threshold(b.scored(), 0.5, 0.7), b.s1()).withColumn("match_rate", F.round("match_rate", 6))
 
 
+def fold_integrity(spark, d):
+    """The folds that models are trained by: S1 records in more than one, folds, pairs."""
+    f = model.folds(Biz(spark, d).scored())
+    return f.groupBy("s1").agg(F.countDistinct("fold").alias("n"), F.count(F.lit(1)).alias("pairs"), F.min("fold").alias("fold")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("split_entities"), F.countDistinct("fold").alias("folds"), F.sum("pairs").alias("pairs"))
+
+
+def decision_search(spark, d):
+    b = Biz(spark, d)
+    best = decide.search_decisions(b.scored(), b.gold(), b.s1())
+    score = decide.macro_f(decide.run_decision(b.scored(), best), b.gold(), b.s1()).first()[0]
+    thr = best.kind == "thr"
+    return spark.createDataFrame([(best.exclusive, best.kind, int(round(best.t1 * 1000)) if thr else 0, int(round(best.t2 * 1000)) if thr else 0, round(score, 6))], "exclusive boolean, kind string, t1 int, t2 int, macro_f05 double")
+
+
+def scorer_coverage(spark, d):
+    return evaluate.scorer_coverage(pair_probability_merge(spark, d)).withColumn("coverage", F.round("coverage", 6))
+
+
+def positive_rate(spark, d):
+    b = Biz(spark, d)
+    top = model.select_topk(b.scored().withColumnRenamed("p", "combo"), 2)
+    return evaluate.positive_rate(model.label(top, b.gold())).withColumn("positive_rate", F.round("positive_rate", 6))
+
+
 def labelled_folds(spark, d):
     b = Biz(spark, d)
     return model.numeric_folds(model.label(b.scored(), b.gold())).select("s1", "cand", "y", "fold")
@@ -236,7 +335,7 @@ def minimum_slice(spark, d):
     """Key-blocked targets of each S1 record by name similarity, exclusive, thresholded, as id lists."""
     b = Biz(spark, d)
     recs = b.records()
-    pairs = blocking.rescore(blocking.key_block(recs).select("s1", "cand").distinct(), {"p": _scores(spark, d, "name")})
+    pairs = blocking.rescore(blocking.key_block(recs).select("s1", "cand").distinct(), {"p": _kept(spark, d, "name")})
     return io.id_lists(b.s1(), decide.decide_threshold(decide.exclusive(pairs), 0.5, 0.7), "matched_entity_ids")
 
 
@@ -250,19 +349,12 @@ def model_out_of_fold(spark, d):
 
 def dense_encoder(spark, d):
     """Raw texts through the stand-in encoder, then the dense blocker within each country."""
-    b = Biz(spark, d)
-    from ..functions.normalize import entity_text
+    from .dense import dense_candidates
 
-    vecs = model.encode_texts(b.records().select("country", "src", "entity_id", entity_text("raw").alias("text")))
-    found = None
-    for src in ("S2", "S3"):
-        v = vecs.where(F.col("src").isin("S1", src)).select(F.concat_ws("|", "country", F.lit(src)).alias("part"), F.when(F.col("src") == "S1", "q").otherwise("t").alias("side"), F.col("entity_id").alias("id"), "vec")
-        both = blocking.dense_topk(v, 15).unionByName(blocking.dense_topk(v, 5, back=True))
-        found = both if found is None else found.unionByName(both)
-    return found.groupBy(F.col("q").alias("s1"), F.col("t").alias("cand")).agg(F.max("sim").alias("cos_emb")).withColumn("cos_emb", F.round("cos_emb", 4))
+    return dense_candidates(Biz(spark, d).records()).withColumn("cos_emb", F.round("cos_emb", 4))
 
 
-QUERIES = {f.__name__: f for f in (minimum_slice, split_scan, normalize_names, load_summary, token_idf, default_idf, s1_name_freq, trigram_postings, prune_grams, sparse_topk_name, sparse_topk_full, sparse_topk_rev, key_block, dense_topk_fwd, dense_topk_rev, dense_encoder, candidate_union_cap, embedding_candidates, pair_features_sets, pair_features_idf, pair_features_jaro_winkler, pair_features_kernels, context_features, pair_probability_merge, scorer_topk, labelled_folds, model_out_of_fold, exclusivity, threshold_decision, expected_f_decision, macro_f05, threshold_grid, gold_explode, id_list_output, output_checks, gold_diagnostics, match_set_sizes, blocking_recall, fully_recalled, score_report, oracle_ceiling, match_rate)}
+QUERIES = {f.__name__: f for f in (minimum_slice, split_scan, scan_integrity, gold_scan, pair_probability_scan, embedding_scan, embedding_writer, pair_texts, normalize_names, load_summary, token_idf, default_idf, s1_name_freq, trigram_postings, prune_grams, sparse_topk_name, sparse_topk_full, sparse_topk_rev, key_block, dense_topk_fwd, dense_topk_rev, dense_encoder, candidate_union_cap, candidate_union_dense, name_frequency_attach, combo, embedding_candidates, pair_features_sets, pair_features_idf, pair_features_jaro_winkler, pair_features_kernels, context_features, pair_probability_merge, scorer_topk, scorer_coverage, positive_rate, fold_integrity, decision_search, labelled_folds, model_out_of_fold, exclusivity, threshold_decision, expected_f_decision, macro_f05, threshold_grid, gold_explode, id_list_output, output_checks, gold_diagnostics, match_set_sizes, blocking_recall, fully_recalled, score_report, oracle_ceiling, match_rate)}
 
 # ---- DuckDB twins -------------------------------------------------------------------------------
 
@@ -334,9 +426,26 @@ def _context():
     return ", ".join(parts)
 
 
+def _union(dense=None):
+    """cnd: the union of all blockers, re-scored and capped. ``dense``: a table of s1, cand, cos_emb."""
+    extra = f" UNION ALL SELECT s1s.country, e.s1, e.cand, 'f_emb' FROM {dense} e JOIN s1s ON s1s.s1 = e.s1" if dense else ""
+    cos = "e.cos_emb" if dense else "NULL::DOUBLE"
+    join = f" LEFT JOIN {dense} e ON e.s1 = u.s1 AND e.cand = u.cand" if dense else ""
+    flags = ", ".join(f"max(CASE WHEN f = '{x}' THEN 1 ELSE 0 END) AS {x}" for x in blocking.FLAGS)
+    return f"""{KEY}, {_postings('name', CAP, 'n')}, {_postings('full', CAP, 'f')},
+flg AS (SELECT country, s1, cand, 'f_name' AS f FROM ({_fwd('n', 10)}) UNION ALL SELECT country, s1, cand, 'f_full' FROM ({_fwd('f', 10)}) UNION ALL SELECT country, s1, cand, 'f_rev' FROM ({_rev('n')}) UNION ALL SELECT country, s1, cand, 'f_rev' FROM ({_rev('f')}) UNION ALL SELECT country, s1, cand, 'f_zip' FROM key{extra}),
+uni AS (SELECT country, s1, cand, {flags} FROM flg GROUP BY ALL),
+rsc AS (SELECT u.*, coalesce(a.sim, 0.0) AS cos_name, coalesce(b.sim, 0.0) AS cos_full, {cos} AS emb FROM uni u LEFT JOIN scrn a ON a.s1 = u.s1 AND a.cand = u.cand LEFT JOIN scrf b ON b.s1 = u.s1 AND b.cand = u.cand{join}),
+cnd AS (SELECT * EXCLUDE (emb), coalesce(emb, 0.0)::DOUBLE AS cos_emb FROM rsc QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(greatest(cos_name, cos_full, emb) + 0.05::DOUBLE * f_zip, 6) DESC, cand) <= 50)"""
+
+
+CAND = _union()
+DENSE = "dns AS (SELECT s.s1, s.cand, max(p) AS cos_emb FROM scored s JOIN rec a ON a.entity_id = s.s1 AND a.src = 'S1' JOIN rec b ON b.entity_id = s.cand AND b.src <> 'S1' AND a.country = b.country GROUP BY ALL)"
+
+
 _flag = lambda k: f"CASE WHEN CAST(round(p * 1000) AS BIGINT) % {k + 2} = 0 THEN 1 ELSE 0 END"
 FLAGGED = "flagged AS (SELECT s1, cand, " + ", ".join(f"{_flag(k)} AS {f}" for k, f in enumerate(blocking.FLAGS)) + " FROM scored)"
-PAIRS = "prs AS (SELECT k.s1, k.cand, a.country, a.core_set AS c1, b.core_set AS c2, a.addr_set AS a1, b.addr_set AS a2, a.name_core AS n1, b.name_core AS n2, a.core_first AS f1, b.core_first AS f2, a.acronym AS y1, b.acronym AS y2, a.legal AS l1, b.legal AS l2, a.name_digits AS d1, b.name_digits AS d2, a.postal AS p1, b.postal AS p2, a.nums AS u1, b.nums AS u2, a.landmark AS m1, b.landmark AS m2, b.src AS src2 FROM key k JOIN rec a ON a.entity_id = k.s1 JOIN rec b ON b.entity_id = k.cand)"
+PAIRS = "prs AS (SELECT k.s1, k.cand, a.country, a.core_set AS c1, b.core_set AS c2, a.addr_set AS a1, b.addr_set AS a2, a.name_core AS n1, b.name_core AS n2, a.core_first AS f1, b.core_first AS f2, a.acronym AS y1, b.acronym AS y2, a.legal AS l1, b.legal AS l2, a.name_digits AS d1, b.name_digits AS d2, a.postal AS p1, b.postal AS p2, a.nums AS u1, b.nums AS u2, a.landmark AS m1, b.landmark AS m2, b.src AS src2 FROM cnd k JOIN rec a ON a.entity_id = k.s1 JOIN rec b ON b.entity_id = k.cand)"
 _jac = lambda x, y: f"len(list_intersect({x}, {y})) / greatest(len(list_distinct(list_concat({x}, {y}))), 1)"
 IDF = "tkn AS (SELECT country, 'name' AS kind, unnest(core_set) AS token FROM rec UNION ALL SELECT country, 'addr', unnest(addr_set) FROM rec), cnt AS (SELECT country, count(*) AS n FROM rec GROUP BY country), idf AS (SELECT country, kind, token, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tkn JOIN cnt USING (country) GROUP BY ALL)"
 
@@ -367,9 +476,34 @@ b AS (SELECT s1, k FROM e QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY ef
 SELECT r.s1, r.cand, r.p FROM r JOIN b USING (s1) WHERE r.r <= b.k"""
 
 
-LIST = lambda src, col: f"SELECT s.s1 AS source1_entity_id, coalesce(string_agg(p.cand, ',' ORDER BY p.p DESC, p.cand), '') AS {col} FROM s1s s LEFT JOIN (SELECT s1, cand, max(p) AS p FROM {src} GROUP BY s1, cand) p ON p.s1 = s.s1 GROUP BY s.s1"
 EXCL = "CASE WHEN row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) = 1 THEN p ELSE 0.0 END"
 
+
+def _search():
+    """The decision with the best macro F0.5: thresholds on raw, expected F on raw, thresholds and expected F on exclusive scores, in that order of preference."""
+    parts = []
+    for n, excl in enumerate((False, True)):
+        scored = f"(SELECT s1, cand, {EXCL} AS p FROM scored)" if excl else "scored"
+        for kind in ("thr", "expf"):
+            tag = f"{kind}{n}"
+            if kind == "thr":
+                one, two = ", ".join(f"({x})" for x in decide.T1), ", ".join(f"({x})" for x in decide.T2)
+                parts.append((tag, f"""r{tag} AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r, max(p) OVER (PARTITION BY s1) AS top FROM {scored}),
+p{tag} AS (SELECT t1, t2, s1, cand FROM (VALUES {one}) a(t1) CROSS JOIN (VALUES {two}) b(t2) JOIN r{tag} ON top >= t1 / 1000 AND (r = 1 OR p >= t2 / 1000)), g{tag} AS (SELECT t1, t2 FROM (VALUES {one}) a(t1) CROSS JOIN (VALUES {two}) b(t2))"""))
+            else:
+                body = _expected().split("r AS (", 1)[1].replace("FROM scored", f"FROM {scored}")
+                parts.append((tag, f"p{tag} AS (SELECT 0 AS t1, 0 AS t2, s1, cand FROM (WITH r AS ({body})), g{tag} AS (SELECT 0 AS t1, 0 AS t2)"))
+    ctes = ", ".join(sql for _, sql in parts)
+    scores = " UNION ALL ".join(
+        f"""SELECT {i} AS place, {'true' if i > 1 else 'false'} AS exclusive, '{tag[:-1]}' AS kind, g.t1, g.t2, avg(CASE WHEN np IS NULL AND ng = 0 THEN 1.0 WHEN np IS NULL OR ng = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * ng + np) END) AS f
+FROM g{tag} g CROSS JOIN n LEFT JOIN (SELECT t1, t2, p.s1, count(*) AS np, count(gold.cand) AS tp FROM p{tag} p LEFT JOIN gold ON gold.s1 = p.s1 AND gold.cand = p.cand GROUP BY ALL) k ON k.t1 = g.t1 AND k.t2 = g.t2 AND k.s1 = n.s1 GROUP BY g.t1, g.t2"""
+        for i, (tag, _) in enumerate(parts)
+    )
+    return f"WITH {BASE}, n AS (SELECT s.s1, count(gold.cand) AS ng FROM s1s s LEFT JOIN gold ON gold.s1 = s.s1 GROUP BY s.s1), {ctes}, best AS ({scores}) SELECT exclusive, kind, t1::INT AS t1, t2::INT AS t2, round(f, 6) AS macro_f05 FROM best ORDER BY round(f, 6) DESC, place, t1 DESC, t2 DESC LIMIT 1"
+
+
+LIST = lambda src, col: f"SELECT s.s1 AS source1_entity_id, coalesce(string_agg(p.cand, ',' ORDER BY p.p DESC, p.cand), '') AS {col} FROM s1s s LEFT JOIN (SELECT s1, cand, max(p) AS p FROM {src} GROUP BY s1, cand) p ON p.s1 = s.s1 GROUP BY s.s1"
+
 ORACLE = {
     "minimum_slice": f"WITH {NORM}, {KEY}, {_postings('name', CAP)}, s1s AS ({biz.S1}), base AS (SELECT DISTINCT key.s1, key.cand, coalesce(sim, 0.0) AS p FROM key LEFT JOIN scr ON scr.s1 = key.s1 AND scr.cand = key.cand), scored AS (SELECT s1, cand, {EXCL} AS p FROM base), {PRED} {LIST('pred', 'matched_entity_ids')}",
     "split_scan": biz.RAW,
@@ -386,23 +520,32 @@ ORACLE = {
     "key_block": f"WITH {NORM}, {KEY} SELECT * FROM key",
     "dense_topk_fwd": _dense("q", "t", 15),
     "dense_topk_rev": _dense("t", "q", 5),
-    "candidate_union_cap": f"""WITH {NORM}, {KEY}, {_postings('name', CAP, 'n')}, {_postings('full', CAP, 'f')},
-flg AS (SELECT country, s1, cand, 'f_name' AS f FROM ({_fwd('n', 10)}) UNION ALL SELECT country, s1, cand, 'f_full' FROM ({_fwd('f', 10)}) UNION ALL SELECT country, s1, cand, 'f_rev' FROM ({_rev('n')}) UNION ALL SELECT country, s1, cand, 'f_rev' FROM ({_rev('f')}) UNION ALL SELECT country, s1, cand, 'f_zip' FROM key),
-uni AS (SELECT country, s1, cand, {", ".join(f"max(CASE WHEN f = '{x}' THEN 1 ELSE 0 END) AS {x}" for x in blocking.FLAGS)} FROM flg GROUP BY ALL),
-rsc AS (SELECT u.*, coalesce(a.sim, 0.0) AS cos_name, coalesce(b.sim, 0.0) AS cos_full, 0.0::DOUBLE AS cos_emb FROM uni u LEFT JOIN scrn a ON a.s1 = u.s1 AND a.cand = u.cand LEFT JOIN scrf b ON b.s1 = u.s1 AND b.cand = u.cand)
-SELECT * FROM rsc QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(greatest(cos_name, cos_full) + 0.05::DOUBLE * f_zip, 6) DESC, cand) <= 50""",
+    "candidate_union_cap": f"WITH {NORM}, {CAND} SELECT * FROM cnd",
+    "candidate_union_dense": f"WITH {NORM}, {BASE}, {DENSE}, {_union('dns')} SELECT * FROM cnd",
+    "scan_integrity": f"SELECT src, count(*) AS lines, count(*) AS rows, true AS ok FROM ({biz.RAW}) r GROUP BY src",
+    "gold_scan": biz.GOLD,
+    "pair_probability_scan": f"SELECT s1, cand, max(p) AS p_xenc FROM ({biz.SCORED}) x GROUP BY s1, cand",
+    "embedding_scan": f"WITH {NORM}, {BASE}, {DENSE} SELECT s1, cand, cos_emb FROM dns",
+    "embedding_writer": f"SELECT s1 AS source1_entity_id, cand AS candidate_entity_id, printf('%.4f', max(p)) AS cos_emb FROM ({biz.SCORED}) x GROUP BY s1, cand",
+    "pair_texts": f"WITH {NORM} SELECT entity_id, concat('name: ', name_norm, ' | address: ', addr_norm) AS pair_text FROM rec",
+    "name_frequency_attach": f"WITH {NORM}, {CAND}, {PAIRS}, frq AS (SELECT country, name_core, count(*) AS n FROM rec WHERE src = 'S1' GROUP BY ALL) SELECT s1, cand, coalesce(n, 1) AS s1_name_freq FROM prs LEFT JOIN frq ON frq.country = prs.country AND frq.name_core = prs.n1",
+    "combo": f"SELECT s1, cand, round(0.5::DOUBLE * p + 0.25::DOUBLE * round(p * 100, 3) / 100 + 0.25::DOUBLE * round(p * 50, 3) / 100, 6) AS combo FROM ({biz.SCORED}) x",
+    "fold_integrity": f"SELECT 0::BIGINT AS split_entities, 5::BIGINT AS folds, count(*) AS pairs FROM ({biz.SCORED}) x",
+    "decision_search": _search(),
+    "scorer_coverage": f"SELECT round(avg(CASE WHEN CAST(round(p * 1000) AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE hit END), 6) AS coverage FROM (SELECT x.*, CASE WHEN max(CASE WHEN CAST(round(p * 1000) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s1, cand) = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM ({biz.SCORED}) x) y",
+    "positive_rate": f"WITH {BASE}, top AS (SELECT s1, cand FROM scored QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) <= 2) SELECT round(avg(CASE WHEN g.cand IS NULL THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS positive_rate FROM top t LEFT JOIN gold g ON g.s1 = t.s1 AND g.cand = t.cand",
     "embedding_candidates": f"WITH {NORM}, {BASE} SELECT s.s1, s.cand, max(p) AS cos_emb FROM scored s JOIN rec a ON a.entity_id = s.s1 AND a.src = 'S1' JOIN rec b ON b.entity_id = s.cand AND b.src <> 'S1' AND a.country = b.country GROUP BY ALL",
-    "pair_features_sets": f"""WITH {NORM}, {KEY}, {PAIRS} SELECT s1, cand, round(CASE WHEN greatest(length(n1), length(n2)) = 0 THEN 1.0 ELSE 1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)) END, 6) AS n_lev, round({_jac('c1', 'c2')}, 6) AS n_jacc, CASE WHEN f1 = f2 THEN 1 ELSE 0 END AS n_first_eq,
+    "pair_features_sets": f"""WITH {NORM}, {CAND}, {PAIRS} SELECT s1, cand, round(CASE WHEN greatest(length(n1), length(n2)) = 0 THEN 1.0 ELSE 1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)) END, 6) AS n_lev, round({_jac('c1', 'c2')}, 6) AS n_jacc, CASE WHEN f1 = f2 THEN 1 ELSE 0 END AS n_first_eq,
 CASE WHEN (y1 <> '' AND list_contains(c2, y1)) OR (y2 <> '' AND list_contains(c1, y2)) THEN 1 ELSE 0 END AS n_acronym, CAST(len(c1) AS INT) AS n_len1, CAST(len(c2) AS INT) AS n_len2, CASE WHEN len(l1) > 0 AND len(l2) > 0 AND len(list_intersect(l1, l2)) = 0 THEN 1 ELSE 0 END AS legal_conflict,
 CASE WHEN list_sort(d1) <> list_sort(d2) THEN 1 ELSE 0 END AS name_digit_conflict, round({_jac('a1', 'a2')}, 6) AS a_jacc, CASE WHEN p1 <> '' AND p2 <> '' THEN CASE WHEN p1 = p2 THEN 1.0::DOUBLE ELSE 0.0 END END AS zip_eq, CASE WHEN p1 <> '' AND p2 <> '' THEN CASE WHEN p1[1:3] = p2[1:3] THEN 1.0::DOUBLE ELSE 0.0 END END AS zip_prefix_eq,
 CASE WHEN len(u1) > 0 AND len(u2) > 0 THEN round({_jac('u1', 'u2')}, 6) END AS num_jacc, CAST(len(a1) AS INT) AS a_len1, CAST(len(a2) AS INT) AS a_len2, m1 AS landmark1, m2 AS landmark2, CASE WHEN src2 = 'S3' THEN 1 ELSE 0 END AS is_s3 FROM prs""",
-    "pair_features_idf": f"WITH {NORM}, {KEY}, {PAIRS}, {IDF}, {_idf('c', 'name', 'x')}, {_idf('a', 'addr', 'y')} SELECT p.s1, p.cand, round(x.o, 6) AS n_idf, round(x.u, 6) AS n_idf_unmatched_max, round(y.o, 6) AS a_idf, round(y.u, 6) AS a_idf_unmatched_max FROM prs p LEFT JOIN x ON x.s1 = p.s1 AND x.cand = p.cand LEFT JOIN y ON y.s1 = p.s1 AND y.cand = p.cand",
-    "pair_features_jaro_winkler": f"WITH {NORM}, {KEY}, {PAIRS} SELECT s1, cand, round(jaro_winkler_similarity(n1, n2), 6) AS n_jw FROM prs",
+    "pair_features_idf": f"WITH {NORM}, {CAND}, {PAIRS}, {IDF}, {_idf('c', 'name', 'x')}, {_idf('a', 'addr', 'y')} SELECT p.s1, p.cand, round(x.o, 6) AS n_idf, round(x.u, 6) AS n_idf_unmatched_max, round(y.o, 6) AS a_idf, round(y.u, 6) AS a_idf_unmatched_max FROM prs p LEFT JOIN x ON x.s1 = p.s1 AND x.cand = p.cand LEFT JOIN y ON y.s1 = p.s1 AND y.cand = p.cand",
+    "pair_features_jaro_winkler": f"WITH {NORM}, {CAND}, {PAIRS} SELECT s1, cand, round(jaro_winkler_similarity(n1, n2), 6) AS n_jw FROM prs",
     "context_features": f"""WITH {BASE}, v AS (SELECT s1, cand, p AS cos_name, round((3 * p) % 1.0, 3) AS cos_full, round(p * p, 6) AS combo FROM scored),
 r AS (SELECT *, {_context()}, count(*) OVER (PARTITION BY s1) AS n_cands_s1, count(*) OVER (PARTITION BY cand) AS n_s1_per_cand, row_number() OVER (PARTITION BY s1 ORDER BY combo DESC) AS rn, max(combo) OVER (PARTITION BY s1) AS top FROM v),
 t AS (SELECT *, max(CASE WHEN rn = 2 THEN combo END) OVER (PARTITION BY s1) AS second FROM r)
 SELECT * EXCLUDE (rn, top, second) REPLACE (round(cos_name, 6) AS cos_name, round(cos_full, 6) AS cos_full, round(combo, 6) AS combo), round(CASE WHEN n_cands_s1 = 1 THEN 1.0 ELSE top - second END, 6) AS combo_second_gap_s1, CASE WHEN combo_rank_s1 = 1 AND combo_rank_cand = 1 THEN 1 ELSE 0 END AS mutual_best FROM t""",
-    "pair_probability_merge": f"WITH {BASE} SELECT s1, cand, CASE WHEN CAST(round(p * 1000) AS BIGINT) % 2 = 0 THEN p ELSE 0.5 END AS p_xenc, CASE WHEN CAST(round(p * 1000) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS p_xenc_present FROM scored",
+    "pair_probability_merge": f"WITH {BASE}, prb AS (SELECT s1, cand, max(p) AS p_xenc FROM scored WHERE CAST(round(p * 1000) AS BIGINT) % 2 = 0 GROUP BY s1, cand) SELECT s.s1, s.cand, coalesce(p_xenc, 0.5) AS p_xenc, CASE WHEN p_xenc IS NULL THEN 0 ELSE 1 END AS p_xenc_present FROM scored s LEFT JOIN prb ON prb.s1 = s.s1 AND prb.cand = s.cand",
     "scorer_topk": f"WITH {BASE} SELECT s1, cand, p AS combo FROM scored QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) <= 2",
     "labelled_folds": f"WITH {BASE} SELECT s.s1, s.cand, CASE WHEN g.cand IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS y, CAST(CAST(substr(s.s1, 4) AS BIGINT) % 5 AS INT) AS fold FROM scored s LEFT JOIN gold g ON g.s1 = s.s1 AND g.cand = s.cand",
     "exclusivity": f"WITH {BASE} SELECT s1, cand, {EXCL} AS p FROM scored",

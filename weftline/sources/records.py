@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    return spark.read.schema(schema).options(sep="\t", header=True, quote="", escape="", nullValue="\u0000").csv(path).fillna("")
+def read_tsv(spark: SparkSession, path: str, schema: str = RECORD, order: str | None = None) -> DataFrame:
+    """The file's rows; ``order`` names a column by which they sort as in the file."""
+    rows = _scan(spark, path, schema)
+    if order is None:
+        return rows.fillna("")
+    names = rows.columns
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(*names, place.alias(order)).fillna("", names)
+
+
+def _scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(sep="\t", header=True, quote="", escape="", nullValue="\u0000").csv(path)
 
 
 def scan_integrity(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -23,7 +33,7 @@ def load_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """The three sources of a split in one, each with its tag."""
     out = None
     for k in (1, 2, 3):
-        part = read_tsv(spark, f"{folder}/{split}/{split}_source{k}.tsv").withColumn("src", F.lit(f"S{k}"))
+        part = read_tsv(spark, f"{folder}/{split}/{split}_source{k}.tsv", order=ORDER).withColumn("src", F.lit(f"S{k}"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -57,11 +67,51 @@ def id_lists(s1_ids: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     best = pairs.groupBy("s1", "cand").agg(F.max("p").alias("p"))
     lists = best.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), "cand"))).alias("l"))  # capped candidates of one S1
     text = F.coalesce(F.array_join(F.col("l.cand"), ","), F.lit(""))
-    return s1_ids.select("s1").join(lists, "s1", "left").select(F.col("s1").alias("source1_entity_id"), text.alias(column))
-
-
-def write_tsv(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="").csv(path)
+    keep = [c for c in (ORDER,) if c in s1_ids.columns]
+    return s1_ids.select("s1", *keep).join(lists, "s1", "left").select(F.col("s1").alias("source1_entity_id"), text.alias(column), *keep)
+
+
+#: The column by which id lists sort as the S1 file does; it is not written.
+ORDER = "_order"
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    """A folder of parts, each with the header."""
+    df.write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="").csv(path)
+
+
+def write_tsv_file(df: DataFrame, path: str) -> None:
+    """One file: parts written by all tasks, in the order of ``ORDER`` if ``df`` has it, joined by copying their bytes one after the other."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    if ORDER in df.columns:
+        df = df.repartitionByRange(ORDER).sortWithinPartitions(ORDER).drop(ORDER)
+    df.write.mode("overwrite").options(sep="\t", header=False, quote="", escape="", emptyValue="").csv(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder = hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    out = fs.create(hadoop.fs.Path(path), True)
+    try:
+        out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            part = fs.open(hadoop.fs.Path(name))
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
+def scores_table(pairs: DataFrame, score: str) -> DataFrame:
+    """Pairs under the header of score files, the largest of a repeated pair: source1_entity_id, candidate_entity_id and the score."""
+    best = pairs.groupBy("s1", "cand").agg(F.max(score).alias(score))
+    return best.select(F.col("s1").alias("source1_entity_id"), F.col("cand").alias("candidate_entity_id"), F.col(score))
+
+
+def embedding_table(pairs: DataFrame) -> DataFrame:
+    """Dense candidates as they are written: the largest cosine of a repeated pair with four decimals."""
+    return scores_table(pairs, "cos_emb").withColumn("cos_emb", F.format_string("%.4f", F.round("cos_emb", 4)))
 
 
 def output_violations(predictions: DataFrame, candidates: DataFrame, records: DataFrame) -> DataFrame:
