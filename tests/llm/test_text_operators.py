@@ -236,6 +236,13 @@ def test_buckets_against_brute_force(spark):
     for r in hot.collect():
         got.setdefault(r.key, set()).add(r.id)
     assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > buckets.ALL)
+    pairs, hot = buckets.meet(frame, buckets.read_members, lambda x, y: (x["id"] - y["id"]) % 3 == 0, Scratch(spark, "meet"), "met", 10_000)
+    got = {(r.a, r.b) for r in pairs.collect()}  # every member is connected with all that fit, and no other
+    assert hot.collect() == [] and all((a - b) % 3 == 0 for a, b in got)
+    for m in members.values():
+        for c in range(3):
+            own = sorted(i for i in m if i % 3 == c)
+            assert len(own) < 2 or any(all((min(i, lead), max(i, lead)) in got for i in own if i != lead) for lead in own)
     pairs, hot = buckets.meet(frame.limit(0), buckets.read_members, lambda x, y: x["size"] == y["size"], Scratch(spark, "meet"), "met")
     assert pairs.collect() == [] and hot.collect() == []
 

@@ -4,9 +4,11 @@ Keys travel in packed blocks, one row for thousands of (key, item), and meet in
 share of the blocks. A key with many members in one task's block sends all but a few of them past the sort, evenly dealt, and
 is a large bucket by that; so no key gathers in one task.
 
-A bucket of at most ``ALL`` members gives all its pairs, those with its leader, the item of least hash, first. Members of a
-larger one pair with its leader. If links do not connect all of them to it, they go on with a finer key, the bucket's and further
-minima of the item; with no minima left, those not connected go on under the same key and another leader, until none is left.
+A bucket of at most ``ALL`` members gives all its pairs, those with its leader, the item of least hash, first. In one of at most
+``most`` members each item that fits no leader before it becomes a leader, and the others pair with all leaders they
+fit. Members of a still larger one pair with its leader. If links do not connect all of them to it, they go on with a finer key, the
+bucket's and further minima of the item; with no minima left, those not connected go on under the same key and another leader,
+until none is left.
 A member has one finer key at a time, so the rows of a round are at most those of the round before. Two items
 that meet in large buckets alone may part at a finer key.
 """
@@ -24,9 +26,9 @@ from .shared import Scratch
 from .words import mix
 
 ALL = 16
+_ORDERS = 4  # orders by which buckets choose their leaders
 _HOLD = 1_000_000  # (key, item) rows that a task sorts at once
 _SLICE = 500_000  # pairs that are made at once
-_HOT = 64  # members of one key in a block, above which the rest are dealt
 FINER = ((1, 1), (2, 2), (4, 28))  # first further minimum and how many, by round
 FOUND = "a long, b long, star boolean, key long, at int, size int, sig int, pos int"
 _MEMBER = ["key", "at", "id", "size", "sig", "pos"]
@@ -59,8 +61,8 @@ def _runs(rows: dict) -> tuple[dict, np.ndarray, np.ndarray]:
     return rows, starts, np.diff(np.r_[starts, len(k)])
 
 
-def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b, star) pairs of small buckets, a < b, star if with the leader, and members (_MEMBER) of large ones,
+def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name: str, most: int = ALL) -> tuple[DataFrame, DataFrame]:
+    """(a, b, star) pairs of buckets of at most ``most`` members, a < b, star if with a leader, and members (_MEMBER) of larger ones,
     both with repetitions where rows repeat.
 
     ``read`` makes the columns of _TYPES from an Arrow batch of ``rows``; ``fits`` says of two such sets of columns
@@ -77,7 +79,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
             nonlocal turn
             found, starts, sizes = _runs({c: np.concatenate([x[c] for x in held]) for c, _ in _TYPES})
             place = np.arange(len(found["key"])) - np.repeat(starts, sizes)
-            past = place > _HOT
+            past = place > most + 48
             owner = ((found["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             kept = np.flatnonzero(~past)
             cuts = np.searchsorted(owner[kept], np.arange(parts + 1))
@@ -114,6 +116,11 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
                 y = _take(x, slice(at, at + 100_000))
                 yield batch(len(y["key"]), a=y["id"], key=y["key"].view(np.int64), at=y["at"].astype(np.int32), size=y["size"].view(np.int32), sig=y["sig"].view(np.int32), pos=y["pos"].view(np.int32))
 
+        def stars(found):
+            a, b = (np.concatenate(x) for x in zip(*found))
+            a, b = a[a != b], b[a != b]
+            return batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=np.ones(len(a), bool))
+
         held = []
         for b in batches:
             for hot, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -125,7 +132,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
             return
         rows, starts, sizes = _runs({c: np.concatenate([x[c] for x in held]) for c, _ in _TYPES})
         held.clear()
-        large = sizes > ALL
+        large = sizes > most
         yield from members(_take(rows, np.flatnonzero(np.repeat(large, sizes))))
         for size in range(2, ALL + 1):
             found = starts[sizes == size]
@@ -138,6 +145,23 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
                 keep = (rows["id"][x] != rows["id"][y]) & fits(_take(rows, x), _take(rows, y))
                 a, b = rows["id"][x[keep]], rows["id"][y[keep]]
                 yield batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=star[keep])
+        out, n = [], 0
+        for start, size in zip(starts[(sizes > ALL) & ~large].tolist(), sizes[(sizes > ALL) & ~large].tolist()):
+            own = _take(rows, slice(start, start + size))
+            own = _take(own, np.argsort(mix(own["id"].view(np.uint64) + np.uint64(own["at"].min() % _ORDERS) * np.uint64(0x9E3779B97F4A7C15))))
+            free = np.ones(size, bool)
+            for i in range(size - 1):
+                if free[i]:
+                    after = np.flatnonzero(fits(_take(own, slice(i, i + 1)), _take(own, slice(i + 1, size)))) + i + 1
+                    free[after] = False
+                    if len(after):
+                        out.append((np.full(len(after), own["id"][i]), own["id"][after]))
+                        n += len(after)
+            if n > 100_000:
+                yield stars(out)
+                out, n = [], 0
+        if out:
+            yield stars(out)
 
     blocked = rows.mapInArrow(deal, "p int, hot boolean, data binary").repartitionById(parts, F.col("p"))
     found = scratch.table(blocked.mapInArrow(pairs, FOUND), name)
@@ -155,7 +179,7 @@ def only(rows: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "id", "left_semi")
 
 
-def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch, most: int = ALL) -> tuple[DataFrame, DataFrame]:
     """Linked (a, b) pairs of items that share a key, enough of them to connect what their buckets connect, and (node, root) of their components.
 
     ``rows``, ``read``, ``fits``: see ``meet``; ``near``: the same as ``fits`` in SQL, of columns and such that start with lead_;
@@ -209,26 +233,32 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
         more = F.substring(F.concat("mins", "mins"), (F.col("at") % 32 + first) % count * width + 1, F.lit(width * min(many, count)))
         return hot.join(own, (hot["id"] == own["own"]) & (F.floor(hot["at"] / 32) == own["level"])).select(F.xxhash64("key", more).alias("key"), *_MEMBER[1:])
 
-    pairs, hot = meet(rows, read, fits, scratch, "met-0")
-    members = led(hot, 0)
-    roots = verified(pairs.where("star").select("a", "b").unionByName(members.where("near").select("a", "b")), None, "first")
+    pairs, hot = meet(rows, read, fits, scratch, "met-0", most)
+    members, stars = None, pairs.where("star").select("a", "b")
+    if not hot.isEmpty():
+        members = led(hot, 0)
+        stars = stars.unionByName(members.where("near").select("a", "b"))
+    roots = verified(stars, None, "first")
     found = [apart(pairs.where("NOT star").select("a", "b"), roots)]
-    open_keys = scratch.table(apart(members, roots).select("key").distinct(), "open")
-    hot = hot.join(open_keys, "key", "left_semi")
+    if members is not None:
+        open_keys = scratch.table(apart(members, roots).select("key").distinct(), "open")
+        hot = hot.join(open_keys, "key", "left_semi")
     for k, (first, many) in enumerate(FINER, 1):
+        if members is None:
+            break
         hot = scratch.table(hot, f"hot-{k}")
         if hot.isEmpty():
             break
-        pairs, hot = meet(finer(hot, first, many), read_members, fits, scratch, f"met-{k}")
+        pairs, hot = meet(finer(hot, first, many), read_members, fits, scratch, f"met-{k}", most)
         found.append(apart(pairs.select("a", "b"), roots))
     rest = found[0]
     for x in found[1:]:
         rest = rest.unionByName(x)
     roots = verified(rest.join(known[0].select("a", "b"), ["a", "b"], "left_anti"), roots, "second")
-    hot = scratch.table(hot, "hot-rest")
+    hot = scratch.table(hot, "hot-rest") if members is not None else hot
     scratch.drop("led-0", "open", *[f"{x}-{k}" for x in ("met", "hot") for k in range(len(FINER) + 1)])
     k = 1
-    while not hot.isEmpty():
+    while members is not None and not hot.isEmpty():
         members = led(hot, k)
         roots = verified(apart(members.where("near").select("a", "b"), roots), roots, f"round-{k}")
         hot = scratch.table(apart(members, roots).select(_MEMBER), f"hot-rest-{k}")
