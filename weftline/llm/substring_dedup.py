@@ -2,16 +2,18 @@
 
 1. Scan: each document is cut into segments, the runs of windows with the same minimizer (the least
    hashed ``GRAM``-gram in the window). Equal windows have equal minimizers, so only segments whose
-   minimizer occurs in two documents matter. Whole copies are settled by the hash of all their words.
-2. Index content: windows of those segments are grouped by hash, map-side first, and each window that
+   minimizer occurs in two documents matter. Whole copies are settled by 128 bits of hash of all their words. Segments of equal
+   words (128 bits of hash) are one class, of which the first, in the least document, stands for all.
+2. Index content: windows of the classes are grouped by hash, map-side first, and each window that
    two documents hold is given to the least of them, its owner. So a passage that a third of all
    documents hold is indexed once.
-3. Shards: owners' windows and the segments to search go to the shard of their minimizer. Shards with
-   many segments are split over salts, each with a copy of the shard's index.
+3. Shards: owners' windows and the classes to search go to the shard of their minimizer. Shards with
+   many classes are split over salts, each with a copy of the shard's index.
 4. Search: a shard builds an FM-index (BWT in a wavelet matrix) of its owners' passages and streams its
-   segments through backward search. Matching statistics of ``WINDOW`` or more are reported with their
-   owner. The search compares words themselves; hashes only choose what is indexed and where. (The
-   64-bit window hash could at worst hide a window that collides with another.)
+   classes through backward search. Matching statistics of ``WINDOW`` or more are reported with their
+   owner, and each segment of the class loses the windows whose owner is smaller than its document. The search
+   compares words themselves; hashes choose what is indexed and where. (The 64-bit window hash
+   could at worst hide a window that collides with another.)
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ WINDOW = 50
 GRAM = 25
 SHARD = 4_000  # segments to search in one group
 WORD = re.compile("[^ \t-\r]+")
+_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
 
 def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,6 +47,17 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
     return g[at[first]], first, np.diff(np.r_[first, n])
 
 
+def contents(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the words from ``first`` to ``last`` (exclusive), by prefix sums of polynomials in odd bases mod 2**64."""
+    out = []
+    for base in _BASES:
+        powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), base)])
+        sums = np.r_[np.uint64(0), np.cumsum(mix(h ^ base) * powers[:-1])]
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), pow(int(base), -1, 1 << 64), np.uint64)])
+        out.append(mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)).view(np.int64))
+    return out
+
+
 def scan(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, sha, h1, h2, segs. ``docs``: doc_id, text."""
     small_batches(docs.sparkSession)
@@ -52,52 +66,57 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        kind = pa.list_(pa.struct([("mu", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
+        kind = pa.list_(pa.struct([("mu", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64())]))
         for b in batches:
-            n, sha, h1, h2, offsets, mus, firsts, sizes = [], [], [], [], [0], [], [], []
+            n, sha, h1, h2, offsets, mus, firsts, sizes, c1, c2 = [], [], [], [], [0], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 words = WORD.findall(text)
                 h = hashes(words)
-                d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+                joined = " ".join(words).encode("utf-8", "surrogatepass")
+                d = xxhash.xxh3_128_intdigest(joined)
                 mu, first, size = segments(h, window)
                 n.append(len(words))
-                sha.append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest())
+                sha.append(hashlib.sha256(joined).hexdigest())
+                one, two = contents(h, first, first + size + window - 1) if len(mu) else (np.zeros(0, np.int64),) * 2
+                c1.append(one)
+                c2.append(two)
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 mus.append(mu.astype(np.int64))
                 firsts.append(first)
                 sizes.append(size)
                 offsets.append(offsets[-1] + len(mu))
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mus, firsts, sizes)]
-            struct = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1].astype(np.int32), pa.int32()), pa.array(flat[2].astype(np.int32), pa.int32())], fields=list(kind.value_type))
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mus, firsts, sizes, c1, c2)]
+            struct = pa.StructArray.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype()), f.type) for x, f in zip(flat, kind.value_type)], fields=list(kind.value_type))
             segs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), segs], names=["doc_id", "n_words", "sha", "h1", "h2", "segs"])
 
-    return docs.mapInArrow(work, "doc_id long, n_words long, sha string, h1 long, h2 long, segs array<struct<mu:long,start:int,n:int>>")
+    return docs.mapInArrow(work, "doc_id long, n_words long, sha string, h1 long, h2 long, segs array<struct<mu:long,start:int,n:int,c1:long,c2:long>>")
 
 
 def windows(texts: DataFrame, window: int) -> DataFrame:
-    """f, doc_id, at of every window of the listed segments. ``texts``: doc_id, text, segs."""
+    """f, doc_id, at, most of every window of the listed segments. ``texts``: doc_id, text, segs."""
 
     def work(batches):
         import pyarrow as pa
 
         for b in batches:
-            fs, docs, ats = [], [], []
+            fs, docs, ats, mosts = [], [], [], []
             for doc, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 f = rolling(hashes(WORD.findall(text)), window).astype(np.int64)
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in segs])
                 fs.append(f[at])
                 ats.append(at)
                 docs.append(np.full(len(at), doc))
-            columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (fs, docs, ats)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["f", "doc_id", "at"])
+                mosts.append(np.repeat([s["most"] for s in segs], [s["n"] for s in segs]))
+            columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (fs, docs, ats, mosts)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], names=["f", "doc_id", "at", "most"])
 
-    return texts.mapInArrow(work, "f long, doc_id long, at int")
+    return texts.mapInArrow(work, "f long, doc_id long, at int, most long")
 
 
 def pieces(texts: DataFrame, window: int) -> DataFrame:
-    """mu, own, doc_id, start, words: every listed segment, and the runs of owned windows in it.
+    """mu, own, c1, c2, doc_id, words: every listed class, and the runs of owned windows in it.
     ``texts``: doc_id, text, segs, owned (window numbers or null)."""
 
     def work(batches):
@@ -112,45 +131,43 @@ def pieces(texts: DataFrame, window: int) -> DataFrame:
                     a, z = s["start"], s["start"] + s["n"]
                     lo, hi = np.searchsorted(mine, [a, z])
                     own = mine[lo:hi]
-                    if len(own) < s["n"]:  # else every window's owner is the document itself
-                        out.append((s["mu"], False, doc, a, " ".join(words[a : z + window - 1])))
+                    if len(own) < s["n"] or s["most"] != doc:  # else every window's owner is the only document itself
+                        out.append((s["mu"], False, s["c1"], s["c2"], doc, " ".join(words[a : z + window - 1])))
                     if len(own):
                         breaks = np.flatnonzero(np.diff(own) != 1) + 1
                         for run in np.split(own, breaks):
-                            out.append((s["mu"], True, doc, int(run[0]), " ".join(words[run[0] : run[-1] + window])))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string()))], names=["mu", "own", "doc_id", "start", "words"])
+                            out.append((s["mu"], True, s["c1"], s["c2"], doc, " ".join(words[run[0] : run[-1] + window])))
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["mu", "own", "c1", "c2", "doc_id", "words"])
 
-    return texts.mapInArrow(work, "mu long, own boolean, doc_id long, start int, words string")
+    return texts.mapInArrow(work, "mu long, own boolean, c1 long, c2 long, doc_id long, words string")
 
 
-def search_shard(own: list, queries: list, window: int) -> list[tuple[int, int, int]]:
-    """(doc, first window, windows) of runs whose owner is smaller. ``own``, ``queries``: (doc, start, words)."""
+def search_shard(own: list, queries: list, window: int) -> list[tuple[int, int, int, int, int]]:
+    """(c1, c2, first window, windows, owner) of runs with one owner. ``own``, ``queries``: (c1, c2, doc, words)."""
     names: dict[str, int] = {}
-    sequences = [np.array([names.setdefault(w, len(names)) for w in words.split(" ")], np.int64) for _, _, words in own]
+    sequences = [np.array([names.setdefault(w, len(names)) for w in x[3].split(" ")], np.int64) for x in own]
     index = FMIndex(sequences, len(names))
-    owners = np.array([d for d, _, _ in own], np.int64)
+    owners = np.array([x[2] for x in own], np.int64)
     get = names.get
-    numbered = [[get(w, -1) for w in words.split(" ")] for _, _, words in queries]
+    numbered = [[get(w, -1) for w in x[3].split(" ")] for x in queries]
     length = np.array([len(x) for x in numbered], np.int64)
     start = np.cumsum(length) - length
     q, at, seq = index.matches(np.fromiter((n for x in numbered for n in x), np.int64, int(length.sum())), start, length, window)
-    docs, begin = np.array([d for d, _, _ in queries], np.int64), np.array([s for _, s, _ in queries], np.int64)
-    good = owners[seq] < docs[q]
-    q, at = q[good], at[good]
-    order = np.lexsort((at, q))
-    q, at = q[order], at[order]
     if not len(q):
         return []
-    cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (at[1:] != at[:-1] + 1)])
+    owner = owners[seq]
+    order = np.lexsort((at, q))
+    q, at, owner = q[order], at[order], owner[order]
+    cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])])
     size = np.diff(np.r_[cut, len(q)])
-    return [(int(docs[q[c]]), int(begin[q[c]] + at[c]), int(s)) for c, s in zip(cut, size)]
+    return [(*queries[i][:2], x, n, o) for i, x, n, o in zip(q[cut].tolist(), at[cut].tolist(), size.tolist(), owner[cut].tolist())]
 
 
 def repeated(texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, start, n): runs of windows that start in a smaller document. ``texts``: doc_id, text, segs."""
+    """(c1, c2, at, size, owner): runs of a class's windows and their owner. ``texts``: doc_id, text, segs."""
     place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("at")).cast("decimal(38,0)")  # stays in a hash map
-    grouped = windows(texts, window).groupBy("f").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
+    grouped = windows(texts, window).groupBy("f").agg(F.min(place).alias("first"), F.max("most").alias("last"))
     doc = F.floor(F.col("first") / F.lit(1 << 32).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
     grouped = grouped.withColumn("doc_id", doc).where("doc_id <> last").withColumn("at", (F.col("first") - F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32)).cast("int"))
     owned = scratch.table(grouped.groupBy("doc_id").agg(F.collect_list("at").alias("owned")), "owned")  # at most a document's windows
@@ -159,19 +176,20 @@ def repeated(texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     shards = max(1, -(-total // SHARD))
     keyed = cut.withColumn("shard", F.pmod("mu", F.lit(shards)))
     loads = scratch.table(keyed.where("NOT own").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("salts")), "loads")
-    salt = F.when(F.col("own"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")))
-    dealt = keyed.join(loads, "shard").select("shard", F.explode(salt).alias("salt"), "own", "doc_id", "start", "words")
+    salt = F.when(F.col("own"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c1", "c2"), F.col("salts")).cast("int")))
+    dealt = keyed.join(loads, "shard").select("shard", F.explode(salt).alias("salt"), "own", "c1", "c2", "doc_id", "words")
 
     def work(tables):
         import pyarrow as pa
 
-        rows = list(zip(*(tables.column(n).to_pylist() for n in ("own", "doc_id", "start", "words"))))
+        rows = list(zip(*(tables.column(n).to_pylist() for n in ("own", "c1", "c2", "doc_id", "words"))))
         own, queries = [r[1:] for r in rows if r[0]], [r[1:] for r in rows if not r[0]]
         found = search_shard(own, queries, window) if own and queries else []
-        columns = list(zip(*found)) or [[]] * 3
-        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "start": pa.array(columns[1], pa.int32()), "n": pa.array(columns[2], pa.int32())})
+        columns = list(zip(*found)) or [[]] * 5
+        types = {"c1": pa.int64(), "c2": pa.int64(), "at": pa.int32(), "size": pa.int32(), "owner": pa.int64()}
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns)})
 
-    return scratch.table(dealt.groupBy("shard", "salt").applyInArrow(work, "doc_id long, start int, n int"), "runs")
+    return scratch.table(dealt.groupBy("shard", "salt").applyInArrow(work, "c1 long, c2 long, at int, size int, owner long"), "runs")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -180,22 +198,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of characters other than space and U+0009 to U+000D. Each word covered by a window of
     ``window`` words that also starts in a document of smaller id goes; windows are judged on the input.
     A null text has no words. A null id is neither smaller nor larger: such rows keep all. Rows that
-    repeat an id must hold the same text. An empty table gives no rows.
+    repeat an id and a text are one document; rows of an id that holds different texts keep all too. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = scratch.table(scan(rows, window), "scan")
     known = seen.where("doc_id IS NOT NULL")
+    unsure = scratch.table(known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc_id"), "unsure")
+    if not unsure.isEmpty():
+        known = known.join(unsure, "doc_id", "left_anti")
     classes = scratch.table(known.where(F.col("n_words") >= window).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
     copies = scratch.table(known.join(classes.where("least <> most"), ["h1", "h2"]).where("doc_id <> least").select("doc_id").distinct(), "copies")
 
     segs = known.where(F.size("segs") > 0).select("doc_id", F.explode("segs").alias("s")).select("doc_id", "s.*")
     shared = scratch.table(segs.groupBy("mu").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("mu"), "shared")
-    listed = segs.join(shared, "mu").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("mu", "start", "n")).alias("segs"))  # at most a document's segments
-    listed = scratch.table(listed.join(copies, "doc_id", "left_anti"), "listed")
+    segs = scratch.table(segs.join(shared, "mu").distinct().join(copies, "doc_id", "left_anti"), "segs")
+    groups = segs.groupBy("mu", "c1", "c2", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("most"))
+    listed = groups.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("mu", F.col("first.start").alias("start"), "n", "c1", "c2", "most")).alias("segs"))  # at most a document's segments
+    listed = scratch.table(listed, "listed")
     texts = scratch.table(rows.join(listed, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "segs"), "texts")
-    runs = repeated(texts, window, scratch)
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = repeated(texts, window, scratch)
+    runs = segs.join(found, ["c1", "c2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), F.col("size").alias("n"))).alias("runs"))  # at most a document's windows
+    runs = scratch.table(runs, "gone-runs")
 
     def cut(batches):
         import pyarrow as pa
@@ -213,7 +237,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sha.append(hashlib.sha256(" ".join([w for w, k in zip(words, keep.tolist()) if k]).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", "removed", "cut_sha"])
 
-    done = texts.select("doc_id", "text").join(runs, "doc_id").mapInArrow(cut, "doc_id long, removed long, cut_sha string")
+    done = rows.join(runs, "doc_id").select("doc_id", "text", "runs").dropDuplicates(["doc_id"]).mapInArrow(cut, "doc_id long, removed long, cut_sha string")
     empty = hashlib.sha256(b"").hexdigest()
     gone = copies.select("doc_id", F.lit(None).cast("long").alias("removed"), F.lit(empty).alias("cut_sha")).unionByName(done)
     gone = scratch.table(gone, "gone")
