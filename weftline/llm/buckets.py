@@ -5,7 +5,7 @@ share of the blocks. A key with many members in one task's block sends all but a
 is a large bucket by that; so no key gathers in one task.
 
 A bucket of at most ``ALL`` members gives all its pairs, those with its leader, the item of least hash, first. In one of at most
-``most`` members each item that fits no leader before it becomes a leader, and the others pair with all leaders they
+``most`` members each item that fits no leader before it becomes a leader, and the others pair with the first leader they
 fit. Members of a still larger one pair with its leader. If links do not connect all of them to it, they go on with a finer key, the
 bucket's and further minima of the item; with no minima left, those not connected go on under the same key and another leader,
 until none is left.
@@ -26,11 +26,11 @@ from .shared import Scratch
 from .words import mix
 
 ALL = 16
-_ORDERS = 4  # orders by which buckets choose their leaders
+_ORDERS = 2  # orders by which buckets choose their leaders
 _HOLD = 1_000_000  # (key, item) rows that a task sorts at once
 _SLICE = 500_000  # pairs that are made at once
 FINER = ((1, 1), (2, 2), (4, 28))  # first further minimum and how many, by round
-FOUND = "a long, b long, star boolean, key long, at int, size int, sig int, pos int"
+FOUND = "a long, b long, star boolean, sure boolean, key long, at int, size int, sig int, pos int"
 _MEMBER = ["key", "at", "id", "size", "sig", "pos"]
 _TYPES = (("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("sig", "<u4"), ("pos", "<u4"), ("at", "u1"))
 
@@ -61,12 +61,16 @@ def _runs(rows: dict) -> tuple[dict, np.ndarray, np.ndarray]:
     return rows, starts, np.diff(np.r_[starts, len(k)])
 
 
-def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name: str, most: int = ALL) -> tuple[DataFrame, DataFrame]:
-    """(a, b, star) pairs of buckets of at most ``most`` members, a < b, star if with a leader, and members (_MEMBER) of larger ones,
+def always(x: dict, y: dict) -> np.ndarray:
+    return np.ones(max(len(x["key"]), len(y["key"])), bool)
+
+
+def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name: str, most: int = ALL, sure: Callable = always) -> tuple[DataFrame, DataFrame]:
+    """(a, b, star, sure, key) pairs of buckets of at most ``most`` members, a < b, star if with a leader, and members (_MEMBER) of larger ones,
     both with repetitions where rows repeat.
 
     ``read`` makes the columns of _TYPES from an Arrow batch of ``rows``; ``fits`` says of two such sets of columns
-    which pairs may be linked at all.
+    which pairs may be linked at all, ``sure`` which of these need no second key.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -105,7 +109,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
     def pairs(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in FOUND.split(", ")]
 
         def batch(n, **columns):
@@ -117,9 +121,8 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
                 yield batch(len(y["key"]), a=y["id"], key=y["key"].view(np.int64), at=y["at"].astype(np.int32), size=y["size"].view(np.int32), sig=y["sig"].view(np.int32), pos=y["pos"].view(np.int32))
 
         def stars(found):
-            a, b = (np.concatenate(x) for x in zip(*found))
-            a, b = a[a != b], b[a != b]
-            return batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=np.ones(len(a), bool))
+            a, b, close, key = (np.concatenate(x) for x in zip(*found))
+            return batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=np.ones(len(a), bool), sure=close, key=key.view(np.int64))
 
         held = []
         for b in batches:
@@ -143,8 +146,8 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
                 at = np.take_along_axis(at, np.argsort(mix(rows["id"][at].view(np.uint64)), 1), 1)  # the leader first
                 x, y, star = at[:, i].ravel(), at[:, j].ravel(), np.tile(i == 0, len(at))
                 keep = (rows["id"][x] != rows["id"][y]) & fits(_take(rows, x), _take(rows, y))
-                a, b = rows["id"][x[keep]], rows["id"][y[keep]]
-                yield batch(len(a), a=np.minimum(a, b), b=np.maximum(a, b), star=star[keep])
+                x, y = _take(rows, x[keep]), _take(rows, y[keep])
+                yield batch(len(x["id"]), a=np.minimum(x["id"], y["id"]), b=np.maximum(x["id"], y["id"]), star=star[keep], sure=sure(x, y), key=x["key"].view(np.int64))
         out, n = [], 0
         for start, size in zip(starts[(sizes > ALL) & ~large].tolist(), sizes[(sizes > ALL) & ~large].tolist()):
             own = _take(rows, slice(start, start + size))
@@ -152,10 +155,13 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
             free = np.ones(size, bool)
             for i in range(size - 1):
                 if free[i]:
-                    after = np.flatnonzero(fits(_take(own, slice(i, i + 1)), _take(own, slice(i + 1, size)))) + i + 1
+                    after = np.flatnonzero(free[i + 1 :]) + i + 1
+                    after = after[fits(_take(own, slice(i, i + 1)), _take(own, after))]
                     free[after] = False
+                    after = after[own["id"][after] != own["id"][i]]
                     if len(after):
-                        out.append((np.full(len(after), own["id"][i]), own["id"][after]))
+                        x, y = _take(own, np.full(len(after), i)), _take(own, after)
+                        out.append((x["id"], y["id"], sure(x, y), x["key"]))
                         n += len(after)
             if n > 100_000:
                 yield stars(out)
@@ -165,7 +171,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
 
     blocked = rows.mapInArrow(deal, "p int, hot boolean, data binary").repartitionById(parts, F.col("p"))
     found = scratch.table(blocked.mapInArrow(pairs, FOUND), name)
-    return found.where("b IS NOT NULL").select("a", "b", "star"), found.where("b IS NULL").withColumnRenamed("a", "id").select(_MEMBER)
+    return found.where("b IS NOT NULL").select("a", "b", "star", "sure", "key"), found.where("b IS NULL").withColumnRenamed("a", "id").select(_MEMBER)
 
 
 def read_members(b) -> dict[str, np.ndarray]:
@@ -174,15 +180,18 @@ def read_members(b) -> dict[str, np.ndarray]:
     return {"key": get("key", np.int64).view(np.uint64), "id": get("id", np.int64), "size": get("size", np.uint32), "sig": get("sig", np.int32).view(np.uint32), "pos": get("pos", np.int32).view(np.uint32), "at": get("at", np.uint8)}
 
 
-def only(rows: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+_FEW = 1_000_000  # rows of ids that are broadcast; more are shuffled
+
+
+def only(rows: DataFrame, ids: DataFrame, most: int = _FEW) -> DataFrame:
     """``rows`` whose id is among ``ids`` (id, no repeats); at most ``most`` ids are broadcast, more are shuffled."""
     return rows.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "id", "left_semi")
 
 
-def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch, most: int = ALL) -> tuple[DataFrame, DataFrame]:
+def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: DataFrame, width: int, count: int, payload_of: Callable, judge: Callable, scratch: Scratch, most: int = ALL, sure: Callable = always) -> tuple[DataFrame, DataFrame]:
     """Linked (a, b) pairs of items that share a key, enough of them to connect what their buckets connect, and (node, root) of their components.
 
-    ``rows``, ``read``, ``fits``: see ``meet``; ``near``: the same as ``fits`` in SQL, of columns and such that start with lead_;
+    ``rows``, ``read``, ``fits``, ``most``, ``sure``: see ``meet``; pairs that are not sure need two keys in common. ``near``: the same as ``fits`` in SQL, of columns and such that start with lead_;
     ``minima``: id, level, mins, which are ``count`` numbers of ``width`` bytes each in binary; ``at`` is level * 32 + the number's
     place; ``payload_of``: table of ids to (id, data), what is compared; ``judge``: whether two data are linked.
     """
@@ -233,7 +242,9 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
         more = F.substring(F.concat("mins", "mins"), (F.col("at") % 32 + first) % count * width + 1, F.lit(width * min(many, count)))
         return hot.join(own, (hot["id"] == own["own"]) & (F.floor(hot["at"] / 32) == own["level"])).select(F.xxhash64("key", more).alias("key"), *_MEMBER[1:])
 
-    pairs, hot = meet(rows, read, fits, scratch, "met-0", most)
+    pairs, hot = meet(rows, read, fits, scratch, "met-0", most, sure)
+    pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("sure").alias("sure"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("sure OR lo <> hi")
+    pairs = scratch.table(pairs.select("a", "b", "star"), "candidates")
     members, stars = None, pairs.where("star").select("a", "b")
     if not hot.isEmpty():
         members = led(hot, 0)
@@ -256,7 +267,7 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
         rest = rest.unionByName(x)
     roots = verified(rest.join(known[0].select("a", "b"), ["a", "b"], "left_anti"), roots, "second")
     hot = scratch.table(hot, "hot-rest") if members is not None else hot
-    scratch.drop("led-0", "open", *[f"{x}-{k}" for x in ("met", "hot") for k in range(len(FINER) + 1)])
+    scratch.drop("led-0", "open", "candidates", *[f"{x}-{k}" for x in ("met", "hot") for k in range(len(FINER) + 1)])
     k = 1
     while members is not None and not hot.isEmpty():
         members = led(hot, k)
@@ -272,6 +283,7 @@ def dealt(pairs: DataFrame, payload: DataFrame, portion: int = 64) -> DataFrame:
     of that many, each with its own copy of its payload, so that no item's pairs gather in one task."""
     for end, name in (("a", "x"), ("b", "y")):
         portions = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("portions")).where("portions > 1")
+        portions = F.broadcast(portions) if portions.limit(_FEW + 1).count() <= _FEW else portions
         own = payload.select(F.col("id").alias(end), F.col("data").alias(name))
         copies = own.join(portions, end).select(end, name, F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
         spread = pairs.join(portions, end, "left").withColumn("portion", F.coalesce(F.pmod(F.xxhash64("b", "a"), F.col("portions")).cast("int"), F.lit(-1))).drop("portions")
