@@ -49,6 +49,24 @@ def test_pii_adds_voted_spans(docs):
     assert pii.find_pii(docs([])).collect() == []
 
 
+def test_pii_finds_secrets_and_numbers(docs):
+    rnd = random.Random(31)
+    hexa = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    secrets = [(i, f'some words token = "{hexa(40)}" and more') for i in range(40)]
+    plain = [(100 + i, "averylongwordwithoutanydigitsinside and commit " + "x" * 30) for i in range(20)] + [(200 + i, f"see commit {hexa(12)} of version 1.2.3") for i in range(20)]
+    numbers = [(300 + i, f"ssn {rnd.randrange(100, 600)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)} on file") for i in range(30)]
+    got = {r.doc_id: [(s.kind, s.m) for s in r.spans] for r in pii.find_pii(docs(secrets + plain + numbers)).collect()}
+    assert all(got[i] == [("secret", t.split('"')[1])] for i, t in secrets)
+    assert not any(got[i] for i, _ in plain)
+    assert all([k for k, _ in got[i]] == ["id"] for i, _ in numbers)
+
+
+def test_pii_of_a_text_with_many_matches(docs):
+    text = " ".join(f"u{i}@host{i % 9}.example.com" for i in range(6000))
+    got = pii.find_pii(docs([(1, text)])).first().spans
+    assert sorted((s.kind, s.start, s.end) for s in got) == sorted(spans(text))
+
+
 def test_distance_against_dynamic_programming():
     def dp(a, b):
         p = list(range(len(b) + 1))

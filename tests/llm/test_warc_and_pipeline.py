@@ -36,6 +36,27 @@ def test_history_is_in_order(spark):
     assert keys == sorted(keys) and len(keys) == 300
 
 
+def test_captures_of_one_url_over_many_ranges(spark):
+    """Most captures are of one URL; small blocks and a fan-in of two make several passes and ranges."""
+    rows = [(i, "http://hot.x/" if i % 3 else f"http://h{i % 5}.x/", f"p{i}") for i in range(400)]
+    made = pages(spark, rows).repartition(7)
+    for fan_in, block in ((2, 8), (64, 4096), (3, 50)):
+        got = sorted(warc.archive_pages(made, fan_in=fan_in, block=block).collect(), key=lambda r: r.position)
+        keys = [(r.url_key, r.ts, r.page_id) for r in got]
+        assert keys == sorted(keys) and len(keys) == 400
+        seen = {}
+        for r in got:
+            assert r.capture == seen.get(r.url_key, 0)
+            seen[r.url_key] = r.capture + 1
+
+
+def test_archives_of_null_ids_and_repeated_rows(spark):
+    big = "b" * 1200
+    rows = [(None, "http://a.b/", big), (None, "http://a.b/", big), (None, None, None), (4, "http://a.b/", big), (4, "http://a.b/", big), (3, "http://a.b/", big), (None, "http://a.b/", "n" * 1500)]
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.archive_pages(pages(spark, rows)).collect())
+    assert got == [("3", 1200, "revisit", "4"), ("4", 1200, "response", "None"), ("4", 1200, "response", "None"), ("None", 0, "response", "None"), ("None", 1200, "response", "None"), ("None", 1200, "response", "None"), ("None", 1500, "response", "None")]
+
+
 def test_loser_tree():
     rnd = np.random.default_rng(1)
     for k in (0, 1, 2, 3, 7, 16):

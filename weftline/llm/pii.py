@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidate spans come from strict patterns (the base kinds) and looser ones. Labelers vote on each
-candidate: a shape check, a gazetteer, the words before it, and the characters around it. The votes of
+candidate: a shape check, a gazetteer, the words before it, the characters around it, and words that speak against it. Besides the base kinds there are
+names with a title, secrets (keys and tokens) and numbers of persons and accounts. The votes of
 all documents are counted by pattern (kinds x 3**labelers rows at most), expectation-maximisation on
 these counts estimates every labeler's reliability, and each pattern gets a posterior. The final span
 classifier is naive Bayes over bounded span features, with counts weighted by those posteriors. It
@@ -34,9 +35,20 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.? [A-Z][a-z]{1,24}(?: [A-Z][a-z]{1,24})?",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![A-Za-z0-9+/_=.-])",
+    "id": r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])",
+}
+#: What a text must hold for a loose pattern to be tried.
+QUICK = {
+    "email": r"[\[(]at[\])]",
+    "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:",
+    "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "name": r"\b(?:M[rs]|Mrs|Dr|Herr|Frau|Mme|Sra?)\.? ",
+    "secret": r"[A-Za-z0-9+/_-]{20}",
+    "id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
 }
 HINTS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret", "id")
 #: Words that speak for a kind when they stand before a span.
 CONTEXT = {
     "email": "mail|email|e-mail|contact|kontakt|correo|courriel",
@@ -44,6 +56,8 @@ CONTEXT = {
     "card": "card|visa|mastercard|karte|carte|tarjeta|credit",
     "phone": "tel|phone|call|fax|mobile|telefon|téléphone|teléfono|ruf",
     "name": "by|from|dear|von|de|por|signed|contact",
+    "secret": "token|secret|key|apikey|api_key|access_key|password|passwd|pwd|auth|authorization|bearer|credential|credentials|private",
+    "id": "ssn|social|iban|account|passport|konto|compte|cuenta|tax",
 }
 #: Gazetteer: top-level domains, private networks, card prefixes, area and country prefixes, honorifics.
 GAZETTEER = {
@@ -52,23 +66,45 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+(?:1|33|34|44|49)|\(?[2-9])",
     "name": r"^(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)",
+    # forms of well-known keys: cloud and code-host prefixes, web tokens, hexadecimal digests of 32, 40 or 64 digits
+    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk[-_]|AIza|eyJ)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$",
+    "id": r"^(?:(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)|(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2})",
 }
 OPEN, CLOSE = "\u0001", "\u0002"
 WINDOW = 32
+_CHUNK = 64
 SPAN = "struct<kind:string,start:int,end:int,m:string,before:string,after:string,base:boolean>"
 
 
 def _spans(text, pattern: str):
     """All matches as array<struct<start,end,m>>, in code points."""
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("out"))
+    kind = "array<struct<start:int,end:int,m:string>>"
 
     def step(a, p):
         end = (a["at"] + F.length(p)).cast("int")
         hit = F.array(F.struct(a["at"].cast("int").alias("start"), end.alias("end"), p.alias("m")))
         return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.when(a["hit"], F.concat(a["out"], hit)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(pieces, state, step, lambda a: a["out"])
+    def measured(ps):
+        """Matches by chunks of ``_CHUNK`` pieces, an even number, so each begins outside a match: an array grows by copying, so long ones are put together of short ones."""
+        chunks = F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / _CHUNK).cast("int"))
+        part = lambda c: F.slice(ps, c * _CHUNK + 1, F.lit(_CHUNK))
+        lengths = F.transform(chunks, lambda c: F.aggregate(part(c), F.lit(0), lambda a, p: a + F.length(p)))
+
+        def at(sums):
+            before = lambda c: F.aggregate(F.slice(sums, F.lit(1), c), F.lit(0), lambda a, n: a + n)
+            state = lambda c: F.struct(before(c).alias("at"), F.lit(False).alias("hit"), F.expr(f"cast(array() as {kind})").alias("out"))
+            return F.flatten(F.transform(chunks, lambda c: F.aggregate(part(c), state(c), step, lambda a: a["out"])))
+
+        return _bound(lengths, at)
+
+    return _bound(pieces, measured)
+
+
+def _bound(value, use):
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _digits(m):
@@ -123,8 +159,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.when(hint, F.transform(found, full(kind, True))).otherwise(_none())
 
     def loose(kind):
-        quick = {"email": r"[\[(]at[\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "name": r"\b(?:M[rs]|Mrs|Dr|Herr|Frau|Mme|Sra?)\.? "}[kind]
-        return F.when(F.col("text").rlike(quick), F.transform(_spans(F.col("text"), LOOSE[kind]), full(kind, False))).otherwise(_none())
+        found = F.transform(_spans(F.col("text"), LOOSE[kind]), full(kind, False))
+        if kind == "secret":  # plain words are no secrets
+            found = F.filter(found, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+        return F.when(F.col("text").rlike(QUICK[kind]), found).otherwise(_none())
 
     rows = rows.withColumn("base", F.concat(*[base(k) for k in BASE])).withColumn("loose", F.concat(*[loose(k) for k in LOOSE]))
     free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
@@ -144,14 +182,15 @@ def votes(x):
     word = F.lower(F.regexp_extract(x["before"], r"([\p{L}-]+)[^\p{L}]*$", 1))
     near = _by_kind(CONTEXT, x, lambda w: F.lower(x["before"]).rlike(rf"(?<!\p{{L}})(?:{w})(?!\p{{L}})"))
     gaz = _by_kind(GAZETTEER, x, lambda p: x["m"].rlike(p))
-    shape = F.when(x["base"], "1").when(x["kind"] == "phone", F.when(digits == 10, "1").otherwise("0")).otherwise("-")
+    mixed = (digits >= 6) & (digits < F.length(x["m"])) & ~x["m"].rlike(r"[-_/].*[-_/].*[-_/]")
+    shape = F.when(x["base"], "1").when(x["kind"] == "phone", F.when(digits == 10, "1").otherwise("0")).when(x["kind"] == "secret", F.when(mixed, "1").otherwise("0")).otherwise("-")
     clear = ~x["before"].rlike(r"[\p{L}0-9_=#/]$") & ~x["after"].rlike(r"^[\p{L}0-9_=/]")
     return F.concat(
         shape,
         F.when(gaz, "1").otherwise("0"),
         F.when(near, "1").otherwise("-"),
         F.when(clear, "1").otherwise("0"),
-        F.when(word.isin("version", "chapter", "section", "build", "isbn", "token", "key", "id"), "0").otherwise("-"),
+        F.when(word.isin("version", "chapter", "section", "build", "isbn", "sha", "commit", "hash", "digest", "checksum", "md5", "sha1", "sha256") | ((x["kind"] != "secret") & word.isin("token", "key", "id")), "0").otherwise("-"),
     )
 
 

@@ -5,9 +5,11 @@
 2. Tasks write gzip-member archives straight into the shared folder, each under its final name only
    when it is whole, so a retried task replaces its own file.
 3. Archives are read back, payload digests are verified, and each archive's index entries are sorted by
-   (URL key, timestamp, id): a run, one file of a shared table.
-4. Runs are dealt into key ranges, and each range's task merges its slices of the runs by a loser tree.
-   The range key is unique, so one URL that holds a third of all captures spans many ranges.
+   (URL key, timestamp, id) into a run, one file of blocks in the shared folder. Its first keys make a small table.
+4. While there are more than ``fan_in`` runs, tasks merge groups of them into longer ones. The last merge is cut into key ranges, with
+   bounds from the blocks' first keys; each range's task opens the runs and merges their slices by a loser tree, holding one block
+   of each. The key is unique, so one URL that holds a third of all captures spans many ranges.
+5. A URL's captures are numbered in each range; what earlier ranges have of a range's first URL is added, from one row a range.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from .shared import Scratch, filesystem, publish, small_batches, table
 
 LEAST = 1000
 ROLL_BYTES = 256 << 20
+FAN_IN = 64
+BLOCK = 4096  # entries of a run's block
+_KEY = "url_key string, ts long, known boolean, page_id long, archive string, offset long"
+INDEX = "run string, block int, first struct<" + _KEY.replace(" ", ":").replace(",:", ",") + ">, next struct<" + _KEY.replace(" ", ":").replace(",:", ",") + ">"
 RUN = "url_key string, ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 HISTORY = RUN + ", position long, capture long"
 
@@ -144,8 +150,6 @@ def loser_tree(runs: list):
             node //= 2
 
 
-
-
 def write_archives(pages: DataFrame, scratch: Scratch, least: int = LEAST, level: int = 1, epoch: int = 1_600_000_000) -> DataFrame:
     """Write the archives; a table (archive, records) of what was written. ``pages``: page_id, url, html, ts."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -186,70 +190,172 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = LEAST, level
     return scratch.table(marked.mapInArrow(work, "archive string, records long"), "written")
 
 
-def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
-    """Index entries of all records, each archive's sorted by (URL key, timestamp, id)."""
+def entry_key(r: tuple) -> tuple:
+    """What entries sort by: URL key, time, id (null first), place."""
+    return r[0], r[1], r[2] is not None, r[2] or 0, r[7], r[8]
 
-    def work(batches):
-        import pyarrow as pa
 
-        schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in RUN.split(", "))])
+def _schema(ddl: str):
+    import pyarrow as pa
+
+    return pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in ddl.split(", "))])
+
+
+def write_run(path: str, entries, block: int) -> list[tuple]:
+    """Write sorted ``entries`` as a run; (run, block, first key, next block's first key) of its blocks. Memory holds one block."""
+    import pyarrow as pa
+
+    firsts, schema = [], _schema(RUN)
+
+    def fill(out):
+        firsts.clear()
+        with pa.ipc.new_file(out, schema) as sink:
+            held = []
+
+            def flush():
+                firsts.append(entry_key(held[0]))
+                sink.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema))
+                held.clear()
+
+            for r in entries:
+                held.append(r)
+                if len(held) == block:
+                    flush()
+            if held:
+                flush()
+
+    publish(path, fill)
+    return [(path, k, first, firsts[k + 1] if k + 1 < len(firsts) else None) for k, first in enumerate(firsts)]
+
+
+def read_run(path: str, blocks, low: tuple | None = None, high: tuple | None = None):
+    """(key, entry) of the run's ``blocks`` from ``low`` on and below ``high``."""
+    import pyarrow as pa
+
+    fs, p = filesystem(path)
+    with fs.open_input_file(p) as f:
+        source = pa.ipc.open_file(f)
+        for k in blocks:
+            for r in zip(*(c.to_pylist() for c in source.get_batch(k).columns)):
+                key = entry_key(r)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield key, r
+
+
+def _index_batch(rows: list):
+    import pyarrow as pa
+
+    key = pa.struct([("url_key", pa.string()), ("ts", pa.int64()), ("known", pa.bool_()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())])
+    names = [f.name for f in key]
+    wide = lambda x: None if x is None else dict(zip(names, x))
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [wide(r[2]) for r in rows], [wide(r[3]) for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), key, key))], names=["run", "block", "first", "next"])
+
+
+def read_archives(archives: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Sort each archive's index entries into a run; the blocks of all runs (INDEX)."""
+    folder = scratch.path("runs-0")
+
+    def work(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, p = filesystem(path)
-                run = []
+                name, run = p.rpartition("/")[2], []
                 with fs.open_input_stream(p, compression=None) as stream:
                     for offset, raw in members(stream):
                         head, _ = parse(raw)
                         ident = head["warc-record-id"].removeprefix("<urn:page:").rstrip(">")
                         refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").rstrip(">")
-                        run.append((url_key(head.get("warc-target-uri")), _seconds(head["warc-date"]), int(ident) if ident else None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(refers) if refers else None, p.rpartition("/")[2], offset))
-                run.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[8]))
-                for a in range(0, len(run), 10_000):
-                    columns = zip(*run[a : a + 10_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                        run.append((url_key(head.get("warc-target-uri")), _seconds(head["warc-date"]), int(ident) if ident else None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(refers) if refers else None, name, offset))
+                run.sort(key=entry_key)
+                yield _index_batch(write_run(f"{folder}/{name}.run", run, block))
 
     files = archives.select("archive").repartition(max(1, archives.count()), "archive")
-    return scratch.table(files.mapInArrow(work, RUN), "runs")
+    return scratch.table(files.mapInArrow(work, INDEX), "index-0")
+
+
+def merge_passes(index: DataFrame, scratch: Scratch, fan_in: int, block: int) -> DataFrame:
+    """The blocks of at most about ``fan_in`` runs: groups of runs are merged until there are no more."""
+    k = 0
+    while (n := index.select("run").distinct().count()) > fan_in:
+        k, groups = k + 1, -(-n // fan_in)
+        folder = scratch.path(f"runs-{k}")
+
+        def work(batches, folder=folder):
+            from pyspark import TaskContext
+
+            runs = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            if runs:
+                merged = loser_tree([read_run(path, range(blocks)) for path, blocks in sorted(runs)])
+                yield _index_batch(write_run(f"{folder}/{TaskContext.get().partitionId():06d}.run", (r for _, r in merged), block))
+
+        runs = index.groupBy("run").agg(F.count(F.lit(1)).alias("blocks")).select(F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int").alias("p"), "run", "blocks")
+        index = scratch.table(runs.repartitionById(groups, F.col("p")).mapInArrow(work, INDEX), f"index-{k}")
+    return index
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Runs merged into global order: ``position`` orders all captures, ``capture`` numbers those of one
-    URL key within its range. Partitions come in key order."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def merge_runs(index: DataFrame, scratch: Scratch, fan_in: int = FAN_IN, block: int = BLOCK) -> DataFrame:
+    """Runs merged into global order: ``position`` orders all captures, ``capture`` numbers those of one URL key. Partitions come in key order."""
+    spark = index.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = merge_passes(index, scratch, fan_in, block)
+    dealt = index.select("first").repartitionByRange(parts, "first").groupBy(F.spark_partition_id().alias("p")).agg(F.min("first").alias("low"))
+    bounds = sorted(tuple(r["low"]) for r in dealt.collect())  # a row a partition
+
+    def ranges(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for run, k, first, after in zip(*(c.to_pylist() for c in b.columns)):
+                first, after = tuple(first.values()), tuple(after.values()) if after else None
+                last = len(bounds) if after is None else max(bisect.bisect_left(bounds, after), 1)
+                out += [(r, run, k) for r in range(max(bisect.bisect_right(bounds, first) - 1, 0), last)]
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32()))], names=["p", "run", "block"])
 
     def work(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names = [c.split()[0] for c in RUN.split(", ")]
-        held: dict[str, list] = {}
-        for b in batches:  # one range's slice of each run
-            for r in zip(*(b.column(n).to_pylist() for n in names)):
-                held.setdefault(r[7], []).append(((r[0], r[1], r[2] is not None, r[2] or 0, r[7], r[8]), r))
-        for slice_ in held.values():
-            if any(a[0] > b[0] for a, b in zip(slice_, slice_[1:])):
-                slice_.sort()  # blocks of one run that came out of order
-        position, last, capture, out = TaskContext.get().partitionId() << 33, None, 0, []
-        schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in HISTORY.split(", "))])
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-        for _, r in loser_tree(list(held.values())):
+        blocks: dict[str, list[int]] = {}
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            for run, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                blocks.setdefault(run, []).append(k)
+        low, high = (bounds[part] if part < len(bounds) else None), (bounds[part + 1] if part + 1 < len(bounds) else None)
+        position, last, capture, out, schema = part << 33, None, 0, [], _schema(HISTORY)
+        for _, r in loser_tree([read_run(run, sorted(ks), low, high) for run, ks in sorted(blocks.items())]):
             capture = capture + 1 if r[0] == last else 0
             last = r[0]
             out.append((*r, position, capture))
             position += 1
             if len(out) == 10_000:
-                yield batch()
-                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
         if out:
-            yield batch()
-
-    return runs.repartitionByRange(parts, "url_key", "ts", "page_id", "archive", "offset").mapInArrow(work, HISTORY)
-
-
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts_col: str | None = None, epoch: int = 1_600_000_000) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    if not bounds:
+        return spark.createDataFrame([], HISTORY)
+    slices = index.mapInArrow(ranges, "p int, run string, block int").repartitionById(len(bounds), F.col("p"))
+    merged = scratch.table(slices.mapInArrow(work, HISTORY), "merged")
+    ends = merged.groupBy(F.shiftright("position", 33).alias("p")).agg(F.min("url_key").alias("first_key"), F.max("url_key").alias("last_key"), F.max(F.struct("position", "capture")).alias("end"))
+    before, carried = [], None
+    for r in sorted(ends.collect()):  # a row a range
+        start = carried[1] if carried and carried[0] == r["first_key"] else 0
+        before.append((r["p"], r["first_key"], start))
+        carried = (r["last_key"], r["end"]["capture"] + 1 + (start if r["first_key"] == r["last_key"] else 0))
+    starts = F.broadcast(spark.createDataFrame(before, "p long, first_key string, start long"))
+    numbered = merged.join(starts, (F.shiftright("position", 33) == starts["p"]) & (merged["url_key"] == starts["first_key"]), "left")
+    return numbered.select(*[c.split()[0] for c in RUN.split(", ")], "position", (F.col("capture") + F.coalesce("start", F.lit(0))).alias("capture"))
+
+
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts_col: str | None = None, epoch: int = 1_600_000_000, fan_in: int = FAN_IN, block: int = BLOCK) -> DataFrame:
     """Write ``pages`` as WARC archives, read them back and return the merged capture history.
 
     A null html is an empty payload; a null URL has no target header and the empty key; null ids make
@@ -261,7 +367,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ts = F.coalesce(F.col(ts_col).cast("long"), F.lit(epoch)) if ts_col else F.lit(epoch) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(315_360_000))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), ts.alias("ts"))
     archives = write_archives(rows, scratch)
-    return merge_runs(read_archives(archives, scratch))
+    return merge_runs(read_archives(archives, scratch, block), scratch, fan_in, block)
 
 
 def op9_warc(spark, sf_dir):
