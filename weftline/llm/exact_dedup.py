@@ -1,12 +1,13 @@
 """Exact dedup by an extendible-hash index on shared files, in DataFrame functions only.
 
-1. Chains: texts are normalised and grouped by (64-bit key, normalised bytes). Grouping compares the
-   bytes of whole texts, so texts whose keys collide stay apart as links of one chain. Copies meet in
-   map-side aggregation first, so a text that a third of all rows hold costs one row per task.
-2. Directory: the entries' keys are counted by their first ``MAX_DEPTH`` bits. Starting from one
-   bucket, the directory doubles until no bucket holds over ``capacity`` entries. It has at most
+1. Directory: rows are counted by the first ``MAX_DEPTH`` bits of the 64-bit key of their normalised text. Starting from one
+   bucket, the directory doubles wherever a bucket holds over ``capacity`` rows. It has at most
    2**MAX_DEPTH slots (65,536 rows of two numbers), which bounds what is broadcast.
-3. Index files: owner tasks write ranges of (bucket, key), without texts.
+2. Entries: rows meet in their bucket by (bucket, key, bytes of the normalised text). Grouping compares the bytes of whole
+   texts, so texts whose keys collide stay apart. Copies meet in map-side aggregation first, so a
+   text that a third of all rows hold costs one row per task.
+3. Index files: owner tasks take ranges of (bucket, key), without texts, and chain the entries of one key: ``link`` is an entry's place in
+   its chain.
 4. Probe: each document looks up (bucket, key, digest) in the index. The index is a table of files,
    so the join has plain exchanges on both sides, and Spark splits a hot key's partitions.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
@@ -49,7 +51,7 @@ def directory(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 18) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, link.
 
     Texts are equal when identical without blanks; of equal texts the row with the most code points,
     then the smallest id, stays. A null text counts as empty; all empty texts are one group. A null id
@@ -63,26 +65,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # most code points, then smallest id, as one number: an aggregate of decimals stays in a hash map
     last = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)")
     rank = F.col("n_cp").cast("decimal(11,0)") * F.lit(_SPAN).cast("decimal(20,0)") - last
-    chains = rows.groupBy("key", "norm").agg(F.max(rank.cast("decimal(38,0)")).alias("best"), F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("group_size"))
-    keep = (F.col("n_cp").cast("decimal(11,0)") * F.lit(_SPAN).cast("decimal(20,0)") - F.col("best")).cast("decimal(20,0)").cast("long")
-    entries = scratch.table(chains.select("key", F.sha2("norm", 256).alias("sha"), F.when(keep != 2**63 - 1, keep).alias("keep_id"), "group_size"), "entries")
-
     slot = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in entries.groupBy(slot.alias("slot")).count().collect()}  # at most 2**MAX_DEPTH rows
+    counts = {r[0]: r[1] for r in rows.groupBy(slot.alias("slot")).count().collect()}  # at most 2**MAX_DEPTH rows
     buckets = directory(counts, capacity)
     slots = spark.createDataFrame([(s, b) for b, (first, depth) in enumerate(buckets) for s in range(first, first + (1 << (MAX_DEPTH - depth)))], "slot int, bucket int")
-    owned = entries.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
-    index = scratch.table(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
+    rows = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
+
+    entries = rows.groupBy("bucket", "key", "norm").agg(F.max(rank.cast("decimal(38,0)")).alias("best"), F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("group_size"))
+    keep = (F.col("n_cp").cast("decimal(11,0)") * F.lit(_SPAN).cast("decimal(20,0)") - F.col("best")).cast("decimal(20,0)").cast("long")
+    entries = scratch.table(entries.select("bucket", "key", F.sha2("norm", 256).alias("sha"), F.when(keep != 2**63 - 1, keep).alias("keep_id"), "group_size"), "entries")
+    chain = W.partitionBy("bucket", "key").orderBy("sha")
+    owned = entries.repartitionByRange("bucket", "key").withColumn("link", F.row_number().over(chain) - 1)
+    index = scratch.table(owned.sortWithinPartitions("bucket", "key", "link"), "index")
     scratch.drop("entries")
 
-    probe = rows.select("doc_id", "key", F.sha2("norm", 256).alias("sha"), slot.alias("slot")).join(F.broadcast(slots), "slot")
+    probe = rows.select("doc_id", "key", F.sha2("norm", 256).alias("sha"), "bucket")
     return probe.join(index, ["bucket", "key", "sha"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "link"
     )
 
 
 def op1_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "link")
 
 
 ORACLE = r"""
