@@ -104,8 +104,9 @@ def test_pruning_at_the_cap(spark):
 
 
 def test_reverse_needs_more_than_the_bound(spark):
-    s = spark.createDataFrame([("US", "S2", "a", "x", 0.2), ("US", "S2", "b", "x", 0.21)], "country string, src string, s1 string, cand string, sim double")
-    assert [r.s1 for r in blocking.reverse(s).collect()] == ["b"]
+    rows = [("s1", "a", "g", 0.2), ("s1", "b", "h", 0.21), ("target", "x", "g", 1.0), ("target", "x", "h", 1.0)]
+    posts = spark.createDataFrame([("US", "S2", *r) for r in rows], "country string, src string, side string, entity_id string, gram string, weight double")
+    assert [r.s1 for r in blocking.reverse(posts).collect()] == ["b"]
 
 
 def test_dense_keeps_the_bound(spark):
@@ -169,3 +170,143 @@ def test_model_out_of_fold_takes_default_options(spark, monkeypatch):
     monkeypatch.setattr(queries, "Biz", lambda spark, d: type("B", (), {"raw": lambda self: None, "gold": lambda self: None})())
     with pytest.raises(Ran):
         queries.model_out_of_fold(spark, "")
+
+
+def test_blocks_give_the_exact_best(spark):
+    """Small blocks, ties and both directions against all pairs."""
+    rnd = random.Random(5)
+    words = [("".join(rnd.choice("abcd") for _ in range(4))) for _ in range(12)]
+    rows = [(f"{src}-{i}", src, " ".join(rnd.choice(words) for _ in range(2)), "", rnd.choice(["US", "FR"])) for src, n in (("S1", 40), ("S2", 30), ("S3", 20)) for i in range(n)]
+    posts = corpus.postings(normalize_records(raw(spark, rows)), "name", None).cache()
+    sides = {}
+    for r in posts.collect():
+        sides.setdefault((r.country, r.src, r.side), {}).setdefault(r.entity_id, {})[r.gram] = r.weight
+    scores = {}
+    for (country, src, side), found in sides.items():
+        for a, x in found.items() if side == "s1" else ():
+            for b, y in sides.get((country, src, "target"), {}).items():
+                s = round(sum(w * y.get(g, 0) for g, w in x.items()), 6)
+                if s > 0:
+                    scores[src, a, b] = s
+    for size in (1 << 16, 7):
+        for back in (False, True):
+            got = blocking.top_k(blocking.block_topk(posts, 3, back, size), ["src", "cand" if back else "s1"], 3, "s1" if back else "cand").collect()
+            want = {}
+            for (src, a, b), s in scores.items():
+                want.setdefault((src, b if back else a), []).append((-s, a if back else b))
+            want = {(src, e, round(-s, 6), other) for (src, e), all_ in want.items() for s, other in sorted(all_)[:3]}
+            assert {(r.src, r.cand if back else r.s1, round(r.sim, 6), r.s1 if back else r.cand) for r in got} == want
+
+
+def test_dense_blocks_give_the_exact_best(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([("p", "q" if i % 2 else "t", str(i), v[i].tolist()) for i in range(60)], "part string, side string, id string, vec array<double>")
+    for back in (False, True):
+        one, two = ([i for i in range(60) if i % 2 == (0 if back else 1)], [i for i in range(60) if i % 2 == (1 if back else 0)])
+        want = {(i, j) for i in one for j in sorted(two, key=lambda j: (-round(float(v[i] @ v[j]), 6), str(j)))[:4] if round(float(v[i] @ v[j]), 6) >= 0.1}
+        order = blocking.dense_scores(frame, 4, 0.1, back, size=9)
+        got = {(int(r.t if back else r.q), int(r.q if back else r.t)) for r in order.collect()}
+        assert want <= got
+        assert {(int(r.t if back else r.q), int(r.q if back else r.t)) for r in blocking.dense_topk(frame, 4, 0.1, back).collect()} == want
+
+
+def test_rescoring_and_union_with_dense_pairs(spark):
+    recs = normalize_records(raw(spark, [("a", "S1", "Acme Foods", "1 Oak 12345", "US"), ("b", "S2", "Acme Foods", "1 Oak 12345", "US"), ("c", "S3", "Zzz", "", "US")]))
+    posts = {v: corpus.postings(recs, v) for v in ("name", "full")}
+    dense = spark.createDataFrame([("US", "a", "c", 0.8), ("US", "a", "c", 0.9)], "country string, s1 string, cand string, cos_emb double")
+    got = {r.cand: r for r in blocking.generate_candidates(recs, posts["name"], posts["full"], dense).collect()}
+    assert got["b"].cos_name == pytest.approx(1) and got["b"].f_zip == got["b"].f_name == 1 and got["b"].f_emb == 0 and got["b"].cos_emb == 0
+    assert got["c"].cos_name == 0 and got["c"].f_emb == 1 and got["c"].cos_emb == 0.9
+
+
+def test_one_file_in_the_order_of_the_input(spark, tmp_path):
+    p = tmp_path / "train" / "train_source1.tsv"
+    p.parent.mkdir()
+    names = [f"id{(i * 37) % 101}" for i in range(101)]
+    p.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{n}\tx\ty\tUS\n" for n in names))
+    rows = io.read_tsv(spark, str(p), order=io.ORDER).withColumn("src", F.lit("S1"))
+    recs = normalize_records(rows)
+    from weftline.plans.linkage import s1_ids
+
+    pairs = spark.createDataFrame([("id5", "z", 0.4), ("id5", "y", 0.7)], "s1 string, cand string, p double")
+    out = str(tmp_path / "lists.tsv")
+    io.write_tsv_file(io.id_lists(s1_ids(recs), pairs, "matched_entity_ids").repartition(5), out)
+    lines = (tmp_path / "lists.tsv").read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids"
+    assert [x.split("\t")[0] for x in lines[1:]] == names
+    assert "id5\ty,z" in lines and "id6\t" in lines
+
+
+def test_scan_that_loses_rows_is_noticed(spark, tmp_path, monkeypatch):
+    p = tmp_path / "a.tsv"
+    p.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n1\tx\ty\tUS\n \t\n2\tx\ty\tUS\n")
+    r = io.scan_integrity(spark, str(p)).first()
+    assert (r.lines, r.rows, r.ok) == (2, 2, True)
+    scan = io.read_tsv
+    monkeypatch.setattr(io, "read_tsv", lambda *a, **b: scan(*a, **b).limit(1))
+    r = io.scan_integrity(spark, str(p)).first()
+    assert (r.lines, r.rows, r.ok) == (2, 1, False)
+
+
+def test_pair_dataset_cuts_the_longer_record(spark):
+    recs = normalize_records(raw(spark, [("a", "S1", " ".join(f"w{i}" for i in range(100)), "", "US"), ("b", "S2", "w1 w2", "x9", "US")]))
+    got = model.pair_dataset(spark.createDataFrame([("a", "b")], "s1 string, cand string"), recs, 20).first().pair_text.split()
+    assert len(got) == 20 and "w1" in got and "1:w3" in got and "2:x9" in got
+
+
+def test_scorer_measures(spark):
+    from weftline.operators import evaluate
+
+    rows = spark.createDataFrame([(f"s{i}", f"c{i}", "same words" if i % 3 == 0 else "1:other 2:words", 1.0 if i % 3 == 0 else 0.0) for i in range(90)], "s1 string, cand string, pair_text string, y double")
+    got = {(r.s1, r.cand): r.p_xenc for r in model.scorer_out_of_fold(rows).collect()}
+    assert len(got) == 90 and all((got[f"s{i}", f"c{i}"] > 0.5) == (i % 3 == 0) for i in range(90))
+    assert evaluate.positive_rate(rows).first()[0] == pytest.approx(1 / 3)
+    some = features.attach_pair_probabilities(rows.select("s1", "cand"), spark.createDataFrame([("s1", "c1", 0.9)], "s1 string, cand string, p_xenc double"))
+    assert evaluate.scorer_coverage(some).first()[0] == pytest.approx(1 / 90)
+
+
+def test_models_by_fold_and_by_country(spark):
+    rnd = random.Random(7)
+    rows = [(f"s{i % 40}", f"c{i}", rnd.choice(["US", "FR"]), float(x > 0.5), [x, rnd.random()]) for i in range(400) for x in [rnd.random()]]
+    from pyspark.ml.linalg import Vectors
+
+    frame = spark.createDataFrame([(a, b, c, y, Vectors.dense(f)) for a, b, c, y, f in rows], ["s1", "cand", "country", "y", "features"])
+    frame = model.folds(frame, 2).cache()
+    oof, test, models = model.out_of_fold(frame, 2, test=frame, rounds=3)
+    assert oof.count() == test.count() == 400 and len(models) == 2
+    assert model.importances(models, ["x", "noise"])[0][0] == "x"
+    each = [[r.p for r in model.predict(m, frame).orderBy("cand").collect()] for m in models]
+    assert [r.p for r in test.orderBy("cand").collect()] == pytest.approx([sum(p) / 2 for p in zip(*each)])
+    left = dict(model.leave_one_out(frame, rounds=3))
+    assert set(left) == {"US", "FR"} and left["US"].count() == frame.where("country = 'US'").count()
+
+
+def test_whole_linkage_of_files(spark, tmp_path):
+    """Both programs over files: candidates, scores and lists of a small test split."""
+    from weftline.plans import dense, linkage, scorer
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    for split in ("train", "test"):
+        (tmp_path / split).mkdir()
+        firms = [(f"{word()} {word()}", f"{rnd.randrange(1, 99)} {word()} road 1{rnd.randrange(1000, 9999)}") for _ in range(60)]
+        for k in (1, 2, 3):
+            own = [(i, n, a) for i, (n, a) in enumerate(firms) if k == 1 or i % 2 == k % 2]
+            (tmp_path / split / f"{split}_source{k}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"S{k}-{i}\t{n}\t{a}\tUS\n" for i, n, a in own))
+        if split == "train":
+            (tmp_path / split / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{'S2' if i % 2 == 0 else 'S3'}-{i}\n" for i in range(60)))
+    data, out = str(tmp_path), tmp_path / "out"
+    dense.main(["--data", data, "--split", "train", "--out", str(tmp_path / "emb.tsv")])
+    head, *rows = (tmp_path / "emb.tsv").read_text().splitlines()
+    assert head == "source1_entity_id\tcandidate_entity_id\tcos_emb" and len(rows) >= 60 and all(len(r.split("\t")[2]) == 6 for r in rows)
+    scorer.main(["--data", data, "--out", str(tmp_path / "probs.tsv"), "--work", str(tmp_path / "w1")])
+    assert (tmp_path / "probs.tsv").read_text().startswith("source1_entity_id\tcandidate_entity_id\tp_xenc\n")
+    linkage.main(["--data", data, "--output", str(out), "--work", str(tmp_path / "w2"), "--mode", "full", "--folds", "2", "--embed-candidates-train", str(tmp_path / "emb.tsv"), "--xenc-train-probs", str(tmp_path / "probs.tsv"), "--embed-candidates-test", str(tmp_path / "none.tsv")])
+    lists = dict(x.split("\t") for x in (out / "matching_results.tsv").read_text().splitlines()[1:])
+    assert list(lists) == [f"S1-{i}" for i in range(60)]
+    assert sum(f"{'S2' if i % 2 == 0 else 'S3'}-{i}" in lists[f"S1-{i}"].split(",") for i in range(60)) >= 50
+    assert (out / "oof_train.tsv").read_text().startswith("s1\tcand\tp\n") and (out / "test_scores.tsv").read_text().startswith("s1\tcand\tp\n")

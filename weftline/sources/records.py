@@ -24,7 +24,7 @@ def _scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scan_integrity(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """One row: non-blank data lines, parsed rows, and whether they agree."""
-    lines = spark.read.text(path).where(F.trim("value") != "").agg((F.count(F.lit(1)) - 1).alias("lines"))
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).agg((F.count(F.lit(1)) - 1).alias("lines"))
     rows = read_tsv(spark, path, schema).agg(F.count(F.lit(1)).alias("rows"))
     return lines.crossJoin(rows).withColumn("ok", F.col("lines") == F.col("rows"))  # one row each
 
