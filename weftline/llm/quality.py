@@ -84,7 +84,7 @@ class Model:
     """Word weights and one logistic model a target."""
 
     def __init__(self, rows: list[tuple[tuple, int, int]]):
-        """``rows``: ((shape, distinct words, words in all), junk, toxic), at most SAMPLE of them. The even rows (by place) weight words,
+        """``rows``: ((shape, distinct words joined by blanks, words in all), junk, toxic), at most SAMPLE of them. The even rows (by place) weight words,
         the odd ones fit the models, so that words seen once don't count twice."""
         self.weights: dict[str, tuple[float, float]] = {}
         count: dict[str, list[int]] = {}
@@ -93,7 +93,7 @@ class Model:
             totals[0] += 1
             totals[1][0] += y[0]
             totals[1][1] += y[1]
-            for x in distinct:
+            for x in distinct.split():
                 c = count.setdefault(x, [0, 0, 0])
                 c[0] += 1
                 c[1] += y[0]
@@ -114,7 +114,7 @@ class Model:
                 scored.append((max(w) * math.log1p(c[0]), x, tuple(w)))
         self.weights = {x: w for _, x, w in sorted(scored, reverse=True)[:VOCABULARY]}
         self.fits = []
-        fit = [evidence(base, set(distinct), k, self.weights) for (base, distinct, k), *_ in rows[1::2]]
+        fit = [evidence(base, set(distinct.split()), k, self.weights) for (base, distinct, k), *_ in rows[1::2]]
         for t in range(len(TARGETS)):
             y = np.array([r[1 + t] for r in rows[1::2]], float)
             if len(fit) < 10 or y.min() == y.max():  # nothing to learn from: the rate alone
@@ -134,7 +134,7 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words_each: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words_each: int = 5_000) -> Model:
     """Fit on ``sample`` labelled documents, those of least id hash. Of an id that several rows hold the longest text counts
     (of equally long ones the greatest). What comes to the driver of a text is its shape and its distinct words, at most ``words_each`` of
     them, those of least hash; so texts of any length take part."""
@@ -155,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words_each:
                 w = words(text)
                 distinct = sorted(set(w), key=lambda x: (xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")), x))[:words_each]
                 shapes.append(shape(text, w))
-                found.append(distinct)
+                found.append(" ".join(distinct))
                 counts.append(len(w))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shapes, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=["picked_id", "y_junk", "y_toxic", "shape", "words", "n"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shapes, pa.list_(pa.float64())), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["picked_id", "y_junk", "y_toxic", "shape", "words", "n"])
 
-    found = rows.mapInArrow(work, "picked_id long, y_junk int, y_toxic int, shape array<double>, words array<string>, n long").collect()
+    found = rows.mapInArrow(work, "picked_id long, y_junk int, y_toxic int, shape array<double>, words string, n long").collect()
     found.sort(key=lambda r: (hash_of(r["picked_id"]), r["picked_id"]))
     return Model([((r["shape"], r["words"], r["n"]), r["y_junk"], r["y_toxic"]) for r in found])
 
