@@ -26,4 +26,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
-ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op9_warc": warc.ORACLE}

@@ -248,3 +248,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS f FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50) x),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY f) AS first FROM s) y WHERE first < doc_id),
+r AS (SELECT DISTINCT doc_id, i + k AS j FROM g CROSS JOIN (SELECT unnest(range(0, 50)) AS k) z),
+k AS (SELECT t.doc_id, count(r.j) AS n_removed, coalesce(string_agg(CASE WHEN r.j IS NULL THEN t.word END, ' ' ORDER BY t.j), '') AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) t LEFT JOIN r ON r.doc_id = t.doc_id AND r.j = t.j GROUP BY t.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
