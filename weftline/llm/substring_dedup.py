@@ -36,24 +36,48 @@ WORD = re.compile("[^ \t-\r]+")
 _BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
 
+#: Blanks of Python that are no blanks here.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def words_of(text: str) -> list[str]:
+    odd = _ODD[:4] if text.isascii() else _ODD
+    return WORD.findall(text) if any(c in text for c in odd) else text.split()
+
+
 def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, first window and number of windows of each segment."""
     n = len(h) - window + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    g = mix(rolling(h, gram))
-    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(1) + np.arange(n)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return g[at[first]], first, np.diff(np.r_[first, n])
+    least, width, want = rolling(h, gram), 1, window - gram + 1
+    while width < want:  # the least of ``width`` grams from each place on, by doubling
+        step = min(width, want - width)
+        least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first], first, np.diff(np.r_[first, n])
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` mod 2**64 from 0 to ``n`` at least, kept for the longest text so far."""
+    found = _POWERS.get(base)
+    if found is None or len(found) <= n:
+        found = np.full(max(n + 1, 4096), base, np.uint64)
+        found[0] = 1
+        _POWERS[base] = found = np.multiply.accumulate(found)
+    return found
 
 
 def contents(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
     """Two hashes of the words from ``first`` to ``last`` (exclusive), by prefix sums of polynomials in odd bases mod 2**64."""
     out = []
     for base in _BASES:
-        powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), base)])
-        sums = np.r_[np.uint64(0), np.cumsum(mix(h ^ base) * powers[:-1])]
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), pow(int(base), -1, 1 << 64), np.uint64)])
+        powers, back = _powers(int(base), len(h)), _powers(pow(int(base), -1, 1 << 64), len(h))
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ base) * powers[: len(h)], out=sums[1:])
         out.append(mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)).view(np.int64))
     return out
 
@@ -70,7 +94,7 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             n, sha, h1, h2, offsets, mus, firsts, sizes, c1, c2 = [], [], [], [], [0], [], [], [], [], []
             for text in b.column(1).to_pylist():
-                words = WORD.findall(text)
+                words = words_of(text)
                 h = hashes(words)
                 joined = " ".join(words).encode("utf-8", "surrogatepass")
                 d = xxhash.xxh3_128_intdigest(joined)
@@ -103,7 +127,7 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
         for b in batches:
             fs, docs, ats, mosts = [], [], [], []
             for doc, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                f = rolling(hashes(WORD.findall(text)), window).astype(np.int64)
+                f = rolling(hashes(words_of(text)), window).astype(np.int64)
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in segs])
                 fs.append(f[at])
                 ats.append(at)
@@ -125,7 +149,7 @@ def pieces(texts: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out = []
             for doc, text, segs, owned in zip(*(c.to_pylist() for c in b.columns)):
-                words = WORD.findall(text)
+                words = words_of(text)
                 mine = np.sort(np.array(owned or [], np.int64))
                 for s in segs:
                     a, z = s["start"], s["start"] + s["n"]
@@ -227,7 +251,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             removed, sha = [], []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = WORD.findall(text)
+                words = words_of(text)
                 gone = np.zeros(len(words) + 1, np.int64)
                 for r in found:
                     gone[r["start"]] += 1
