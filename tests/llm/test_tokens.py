@@ -49,7 +49,9 @@ def test_codec_learns_and_finds_damage():
 
 def test_token_files(docs):
     rows = list(enumerate(TEXTS, 10)) + [(-3, "less"), (None, "null id")]
+    many = token_files.token_files(docs(rows), public_tokenizers.path("byte_bpe_50k.json"), docs_per_file=2).collect()
     got = token_files.token_files(docs(rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, many), key=str)
     want, at = [], 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     for (i, _), x in zip(order, ids("byte_bpe_50k.json", [t for _, t in order], 2)):

@@ -221,20 +221,31 @@ def write_ids(out, ids: np.ndarray, block: int = BLOCK) -> int:
     return done
 
 
-def read_ids(data):
-    """Yield arrays of ids, a batch of blocks each, from what ``write_ids`` wrote. Raises ValueError on damage."""
-    at, n = 0, len(data)
-    while at < n:
+def read_ids(data, size: int | None = None):
+    """Yield arrays of ids, a batch of blocks each, from what ``write_ids`` wrote: bytes, or ``size`` bytes of a stream. Memory holds
+    ``LANES`` blocks. Raises ValueError on damage."""
+    import io
+
+    if not hasattr(data, "read"):
+        data, size = io.BytesIO(data), len(data)
+    ahead, left = None, size
+    while left or ahead:
         heads, payloads = [], []
-        while at < n and len(heads) < LANES:
-            head = struct.unpack_from("<IIII", data, at)
-            if heads and head[1] != heads[0][1]:
+        while (left or ahead) and len(heads) < LANES:
+            if ahead is None:
+                raw = data.read(16)
+                if len(raw) < 16:
+                    raise ValueError("a block is cut off")
+                ahead, left = struct.unpack("<IIII", raw), left - 16
+            if heads and ahead[1] != heads[0][1]:
                 break
-            heads.append(head)
-            payloads.append(bytes(data[at + 16 : at + 16 + head[2]]))
-            if len(payloads[-1]) != head[2]:
+            payload = bytes(data.read(ahead[2]))
+            if len(payload) != ahead[2]:
                 raise ValueError("a block is cut off")
-            at += 16 + head[2]
+            left -= ahead[2]
+            heads.append(ahead)
+            payloads.append(payload)
+            ahead = None
         ids = decode_blocks(payloads, heads[0][1])
         for row, (count, _, _, crc) in zip(ids, heads):
             if zlib.crc32(row[:count].astype("<u4").tobytes()) != crc:
