@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, claim
 from .words import mix
 
 ALL = 16
 _ORDERS = 2  # orders by which buckets choose their leaders
-_HOLD = 1_000_000  # (key, item) rows that a task sorts at once
+_HOLD = 500_000  # (key, item) rows that a task sorts at once
 _SLICE = 500_000  # pairs that are made at once
 FINER = ((1, 1), (2, 2), (4, 28))  # first further minimum and how many, by round
 FOUND = "a long, b long, star boolean, sure boolean, key long, at int, size int, sig int, pos int"
@@ -77,6 +77,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
     def deal(batches):
         import pyarrow as pa
 
+        claim("lines")
         held, n, turn = [], 0, 0
 
         def blocks():

@@ -13,6 +13,8 @@ import struct
 
 import regex
 
+from .shared import claim
+
 #: Characters that Python and the tokenizers' patterns don't both see as blanks; such texts are encoded whole.
 _ODD = "\x1c\x1d\x1e\x1f\x85\u1680\u180e\u200b\u2060\ufeff"
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -113,6 +115,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of that file."""
+    claim("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, small_batches, table
+from .shared import Scratch, claim, small_batches, table
 
 SAMPLE = 8_000  # labelled documents at most
 VOCABULARY = 4_000  # words with a weight, at most
@@ -176,6 +176,7 @@ def score(docs: DataFrame, model: Model, host_col: str = "source", path_col: str
     def work(batches):
         import pyarrow as pa
 
+        claim("quality")
         m = held.value
         for b in batches:
             found = [m.logits(t) for t in b.column(4).to_pylist()]

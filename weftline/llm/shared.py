@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,18 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_CACHES: dict[str, Callable] = {}
+
+
+def claim(owner: str, clear: Callable | None = None) -> None:
+    """A Python worker outlives tasks, and may run those of several operators: it keeps the caches of one at a time. Whatever others
+    hold is cleared; ``clear`` is how this one's goes when its turn comes."""
+    for other in [x for x in _CACHES if x != owner]:
+        _CACHES.pop(other)()
+    if clear is not None:
+        _CACHES[owner] = clear
+
+
 def filesystem(path: str):
     """A pyarrow filesystem and the path in it, for a URI or plain path of the shared folder."""
     from pyarrow import fs

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import Scratch, small_batches, table
-from .words import hashes, mix, rolling
+from .shared import Scratch, claim, small_batches, table
+from .words import _SEEN, hashes, mix, rolling
 
 WINDOW = 50
 GRAM = 25
@@ -90,6 +90,7 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        claim("words", _SEEN.clear)
         kind = pa.list_(pa.struct([("mu", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64())]))
         for b in batches:
             n, sha, h1, h2, offsets, mus, firsts, sizes, c1, c2 = [], [], [], [], [0], [], [], [], [], []
