@@ -119,6 +119,13 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_words long, sha string, h1 long, h2 long, segs array<struct<mu:long,start:int,n:int,c1:long,c2:long>>")
 
 
+def _segments_of(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's segments begin in the flat columns, and those columns."""
+    flat = column.flatten()
+    begin = column.offsets.to_numpy()
+    return begin - begin[0], {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
 def windows(texts: DataFrame, window: int) -> DataFrame:
     """f, doc_id, at, most of every window of the listed segments. ``texts``: doc_id, text, segs."""
 
@@ -127,13 +134,16 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             fs, docs, ats, mosts = [], [], [], []
-            for doc, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                f = rolling(hashes(words_of(text)), window).astype(np.int64)
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in segs])
+            begin, segs = _segments_of(b.column(2))
+            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                f = rolling(hashes(words_of(text)), window).view(np.int64)
+                own = slice(begin[i], begin[i + 1])
+                n = segs["n"][own].astype(np.int64)
+                at = np.arange(n.sum()) + np.repeat(segs["start"][own] - np.cumsum(n) + n, n)
                 fs.append(f[at])
                 ats.append(at)
                 docs.append(np.full(len(at), doc))
-                mosts.append(np.repeat([s["most"] for s in segs], [s["n"] for s in segs]))
+                mosts.append(np.repeat(segs["most"][own], n))
             columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (fs, docs, ats, mosts)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], names=["f", "doc_id", "at", "most"])
 
@@ -149,19 +159,21 @@ def pieces(texts: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for doc, text, segs, owned in zip(*(c.to_pylist() for c in b.columns)):
+            begin, segs = _segments_of(b.column(2))
+            for i, (doc, text, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
                 words = words_of(text)
                 mine = np.sort(np.array(owned or [], np.int64))
-                for s in segs:
-                    a, z = s["start"], s["start"] + s["n"]
-                    lo, hi = np.searchsorted(mine, [a, z])
-                    own = mine[lo:hi]
-                    if len(own) < s["n"] or s["most"] != doc:  # else every window's owner is the only document itself
-                        out.append((s["mu"], False, s["c1"], s["c2"], doc, " ".join(words[a : z + window - 1])))
-                    if len(own):
-                        breaks = np.flatnonzero(np.diff(own) != 1) + 1
-                        for run in np.split(own, breaks):
-                            out.append((s["mu"], True, s["c1"], s["c2"], doc, " ".join(words[run[0] : run[-1] + window])))
+                row = {c: x[begin[i] : begin[i + 1]] for c, x in segs.items()}
+                cuts = np.searchsorted(mine, row["start"]), np.searchsorted(mine, row["start"] + row["n"])
+                for mu, a, n, c1, c2, most, lo, hi in zip(*(row[c].tolist() for c in ("mu", "start", "n", "c1", "c2", "most")), *(x.tolist() for x in cuts)):
+                    if hi - lo < n or most != doc:  # else every window's owner is the only document itself
+                        out.append((mu, False, c1, c2, doc, " ".join(words[a : a + n + window - 1])))
+                    if hi - lo == n:
+                        out.append((mu, True, c1, c2, doc, " ".join(words[a : a + n + window - 1])))
+                    elif hi > lo:
+                        own = mine[lo:hi]
+                        for run in np.split(own, np.flatnonzero(np.diff(own) != 1) + 1):
+                            out.append((mu, True, c1, c2, doc, " ".join(words[run[0] : run[-1] + window])))
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["mu", "own", "c1", "c2", "doc_id", "words"])
 
