@@ -110,6 +110,7 @@ def meet(rows: DataFrame, read: Callable, fits: Callable, scratch: Scratch, name
     def pairs(batches):
         import pyarrow as pa
 
+        claim("lines")
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in FOUND.split(", ")]
 
@@ -201,6 +202,7 @@ def links(rows: DataFrame, read: Callable, fits: Callable, near: str, minima: Da
     def work(batches):
         import pyarrow as pa
 
+        claim("lines")
         for b in batches:
             linked = [judge(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])

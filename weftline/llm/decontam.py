@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, small_batches, table
+from .shared import Scratch, claim, small_batches, table
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -204,6 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def work(batches, index=index):
             import pyarrow as pa
 
+            claim("benchmark")
             ix, schema = index.value, pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split() for c in RESULT.split(", "))])
             for b in batches:
                 found = []

@@ -70,7 +70,7 @@ class _Pieces(dict):
 class Encoder:
     """``encode(texts)`` gives each text's ids as bytes: little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

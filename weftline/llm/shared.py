@@ -61,11 +61,19 @@ _CACHES: dict[str, Callable] = {}
 
 def claim(owner: str, clear: Callable | None = None) -> None:
     """A Python worker outlives tasks, and may run those of several operators: it keeps the caches of one at a time. Whatever others
-    hold is cleared; ``clear`` is how this one's goes when its turn comes."""
+    hold is cleared, and memory that is free goes back to the machine; ``clear`` is how this one's caches go when their turn comes."""
+    import ctypes
+
+    import pyarrow as pa
+
     for other in [x for x in _CACHES if x != owner]:
         _CACHES.pop(other)()
     if clear is not None:
         _CACHES[owner] = clear
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def filesystem(path: str):
