@@ -31,6 +31,7 @@ from .words import _SEEN, hashes, mix, rolling
 
 WINDOW = 50
 GRAM = 25
+LONGEST = 64  # windows of a segment
 SHARD = 4_000  # segments to search in one group
 WORD = re.compile("[^ \t-\r]+")
 _BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
@@ -46,7 +47,7 @@ def words_of(text: str) -> list[str]:
 
 
 def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each segment."""
+    """Minimizer, first window and number of windows of each segment, at most ``LONGEST``."""
     n = len(h) - window + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
@@ -55,7 +56,11 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
         step = min(width, want - width)
         least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[first], first, np.diff(np.r_[first, n])
+    size = np.diff(np.r_[first, n])
+    parts = -(-size // LONGEST)  # a text that repeats itself has long runs; their parts are mostly equal
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(first, parts) + k * LONGEST
+    return np.repeat(least[first], parts), begin, np.minimum(np.repeat(size, parts) - k * LONGEST, LONGEST)
 
 
 _POWERS: dict[int, np.ndarray] = {}
