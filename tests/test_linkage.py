@@ -310,3 +310,19 @@ def test_whole_linkage_of_files(spark, tmp_path):
     assert list(lists) == [f"S1-{i}" for i in range(60)]
     assert sum(f"{'S2' if i % 2 == 0 else 'S3'}-{i}" in lists[f"S1-{i}"].split(",") for i in range(60)) >= 50
     assert (out / "oof_train.tsv").read_text().startswith("s1\tcand\tp\n") and (out / "test_scores.tsv").read_text().startswith("s1\tcand\tp\n")
+
+
+def test_plans_are_cut(spark, tmp_path):
+    """No plan that the driver holds has the records' normalisation in it, or more than one blocker."""
+    from weftline.plans import linkage, queries
+
+    spark.range(1, 41).selectExpr("id AS c_custkey", "CAST(id % 6 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    plans, keep = [], linkage.Workspace.keep
+    try:
+        linkage.Workspace.keep = lambda self, df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(self, df, name))[1]
+        for name in ("sparse_topk_name", "sparse_topk_full", "sparse_topk_rev", "candidate_union_dense", "pair_features_sets"):
+            plans.append(queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString())
+            assert "EvalPython" not in plans[-1], name
+    finally:
+        linkage.Workspace.keep = keep
+    assert all(p.count("FlatMapGroupsInArrow") <= 1 for p in plans) and all("FlatMapGroupsInArrow" not in p for p in plans if "EvalPython" in p)
