@@ -404,3 +404,18 @@ def test_near_dedup_of_scattered_edits_in_full_buckets(docs):
         expect[100 + k] = i
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs(rows)).collect()}
     assert got == expect
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
+    """Links between members that neither leader is linked to, in buckets of many blocks, and pairs that ``fits`` or ``may`` rule out."""
+    monkeypatch.setattr(buckets, "_BLOCK", 16)
+    n = 150
+    frame = spark.createDataFrame([(k, 0, i, 10 + i % 2, 0, i) for k in (1, 2) for i in range(n) if k == 1 or i % 3 == 0], "key long, at int, id long, size int, sig int, pos int").repartition(3)
+    data = frame.select("id").distinct()
+    extra = lambda ids: ids.selectExpr("id", "0 AS level", "CAST(lpad(CAST(id % 2 AS STRING), 4, '0') AS BINARY) AS extra")
+    may = lambda x, y: (x["extra"] == y["extra"]).all(1)
+    payload = lambda ids: data.join(ids, "id").selectExpr("id", "CAST(CAST(id AS STRING) AS BINARY) AS data")
+    judge = lambda x, y: abs(int(x) - int(y)) == 50
+    linked, roots = buckets.links(frame, buckets.read_members, lambda x, y: x["size"] == y["size"], "size = lead_size", extra, may, payload, judge, Scratch(spark, "links"))
+    assert {(r.a, r.b) for r in linked.collect()} == {(i, i + 50) for i in range(n - 50)}
+    assert {r.node: r.root for r in roots.collect()} == {i: i % 50 for i in range(n)}

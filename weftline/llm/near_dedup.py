@@ -4,8 +4,8 @@ banded alignment.
 1. Texts are words (lower case, ``\\w+``). Equal word sequences form exact classes, so thousands of copies cost one
    row. Sketch ``r`` takes the ``PICK`` least hashes of the labelled 3-grams (gram, how many times it occurred before) and
    keeps their text order.
-2. Classes with an equal sketch share a bucket (see ``buckets``): all pairs of a small one, pairs with the leader
-   and finer keys of further sketches in a large one. Pairs that lengths rule out, or that links already connect, are left.
+2. Classes with an equal sketch share a bucket (see ``buckets``): all its pairs are compared but those that lengths or
+   counts of words rule out, or that links already connect.
 3. A pair is linked if 1 - distance / longer length, by word edits, is at least ``least``. The aligner
    keeps a band of as many diagonals as that distance allows.
 4. Linked classes form components; the class id is the component's least document id.
@@ -184,6 +184,22 @@ def links(classes: DataFrame, rows: DataFrame, least: float, scratch: Scratch) -
         longer = np.maximum(x["size"], y["size"])
         return longer - np.minimum(x["size"], y["size"]) <= np.floor(longer * (1 - least) + 1e-9)
 
+    def may(x, y):
+        """Whether the counts of words by the last byte of their hash leave room for a link: their overlap is no less than ``common``."""
+        p, q = (z["extra"].view("<u2") for z in (x, y))
+        longer, full = np.maximum(x["size"], y["size"]), (p == 0xFFFF).any(1) | (q == 0xFFFF).any(1)
+        return full | (longer - np.minimum(p, q).sum(1) <= np.floor(longer * (1 - least) + 1e-9))
+
+    def counts(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [np.minimum(np.bincount(np.frombuffer(x, np.uint8)[::4], minlength=256), 0xFFFF).astype("<u2").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(found), np.int32)), pa.array(found, pa.binary())], names=["id", "level", "extra"])
+
+    def extra(wanted):
+        return ids(wanted).mapInArrow(counts, "id long, level int, extra binary")
+
     def judge(x, y):
         x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
         longer = max(len(x), len(y))
@@ -195,8 +211,7 @@ def links(classes: DataFrame, rows: DataFrame, least: float, scratch: Scratch) -
         return word_ids(buckets.only(rows.select(F.col("doc_id").alias("id"), "text"), scratch.table(docs, "wanted")))
 
     near = f"greatest(size, lead_size) - least(size, lead_size) <= floor(greatest(size, lead_size) * {1 - least} + 1e-9)"
-    minima = classes.select(F.col("h1").alias("id"), F.lit(0).alias("level"), "mins")
-    return buckets.links(classes.where("words > 0").select("h1", "words", "mins"), read_keys, fits, near, minima, 8, SKETCHES, ids, judge, scratch)
+    return buckets.links(classes.where("words > 0").select("h1", "words", "mins"), read_keys, fits, near, extra, may, ids, judge, scratch)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
