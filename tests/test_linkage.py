@@ -326,3 +326,22 @@ def test_plans_are_cut(spark, tmp_path):
     finally:
         linkage.Workspace.keep = keep
     assert all(p.count("FlatMapGroupsInArrow") <= 1 for p in plans) and all("FlatMapGroupsInArrow" not in p for p in plans if "EvalPython" in p)
+
+
+def test_dense_squares_are_dealt(spark):
+    """Squares of blocks of one partition go to tasks of their own, and matrix products of few cosines give all best pairs."""
+    rnd = random.Random(4)
+    rows = [("p", "qt"[i % 2], str(i), [rnd.random() for _ in range(4)]) for i in range(120)]
+    v = spark.createDataFrame([(p, s, i, [x / sum(y * y for y in v) ** 0.5 for x in v]) for p, s, i, v in rows], "part string, side string, id string, vec array<double>")
+    vec = {r.id: r.vec for r in v.collect()}
+    for back in (False, True):
+        scores = blocking.dense_scores(v, 3, 0.1, back, size=16, cells=64)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert "bq" in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(" in x)
+        got = {(r.q, r.t) for r in blocking.top_k(scores.withColumn("src", F.lit("x")), ["t" if back else "q"], 3, "q" if back else "t").collect()}
+        want = set()
+        for a in vec:
+            if int(a) % 2 == back:
+                near = sorted((b for b in vec if int(b) % 2 != back), key=lambda b: (-round(sum(x * y for x, y in zip(vec[a], vec[b])), 6), b))[:3]
+                want |= {(b, a) if back else (a, b) for b in near}
+        assert got == want
