@@ -419,3 +419,20 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
     linked, roots = buckets.links(frame, buckets.read_members, lambda x, y: x["size"] == y["size"], "size = lead_size", extra, may, payload, judge, Scratch(spark, "links"))
     assert {(r.a, r.b) for r in linked.collect()} == {(i, i + 50) for i in range(n - 50)}
     assert {r.node: r.root for r in roots.collect()} == {i: i % 50 for i in range(n)}
+
+
+def test_what_leaves_a_square_is_no_more_than_its_members(spark, monkeypatch):
+    """A large bucket of items that are all linked, and share several keys, gives as many links as connect it and verifies a pair at one key."""
+    monkeypatch.setattr(buckets, "_BLOCK", 64)
+    n = 60
+    frame = spark.createDataFrame([(k, k, i, 10, 0, 0) for k in range(3) for i in range(n)], "key long, at int, id long, size int, sig int, pos int")
+    rows = frame.selectExpr("id", "id AS root", "key", "at", "size", "sig", "pos")
+    members = buckets.opened(rows, Scratch(spark, "opened"))
+    assert {(r.id, len(r.m)) for r in members.collect()} == {(i, 3) for i in range(n)}
+    extra = frame.selectExpr("id", "0 AS level", "CAST('x' AS BINARY) AS extra").distinct()
+    payload = frame.selectExpr("id", "CAST(id AS STRING) AS data").distinct()
+    every = lambda x, y: np.ones(len(x["id"]), bool)
+    found = [(r.a, r.b) for r in buckets.crossed(members, extra, payload, every, every, lambda x, y: True).collect()]
+    assert len(found) == n - 1 and {i for p in found for i in p} == set(range(n))
+    near = [(r.a, r.b) for r in buckets.crossed(members, extra, payload, every, every, lambda x, y: abs(int(x) - int(y)) == 30).collect()]
+    assert sorted(near) == [(i, i + 30) for i in range(30)]
