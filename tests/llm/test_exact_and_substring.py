@@ -90,3 +90,12 @@ def test_fm_index_counts():
                     break
             want = sum(tuple(s[k : k + n]) == tuple(p) for s in seqs for k in range(len(s) - n + 1))
             assert max(0, int(hi[0] - lo[0])) == want
+
+
+def test_substring_drops_tables_once_read(docs, monkeypatch):
+    gone = []
+    drop = substring_dedup.Scratch.drop
+    monkeypatch.setattr(substring_dedup.Scratch, "drop", lambda self, *names: (gone.extend(names), drop(self, *names))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs([(1, text), (2, text + " end")])).collect()}
+    assert got == {1: 0, 2: 60} and {"scan", "segs", "texts", "pieces"} <= set(gone)

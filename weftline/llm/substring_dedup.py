@@ -207,13 +207,14 @@ def search_shard(own: list, queries: list, window: int) -> list[tuple[int, int,
 
 
 def repeated(texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(c1, c2, at, size, owner): runs of a class's windows and their owner. ``texts``: doc_id, text, segs."""
+    """(c1, c2, at, size, owner): runs of a class's windows and their owner. ``texts``: doc_id, text, segs, the table of that name, which goes."""
     place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("at")).cast("decimal(38,0)")  # stays in a hash map
     grouped = windows(texts, window).groupBy("f").agg(F.min(place).alias("first"), F.max("most").alias("last"))
     doc = F.floor(F.col("first") / F.lit(1 << 32).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
     grouped = grouped.withColumn("doc_id", doc).where("doc_id <> last").withColumn("at", (F.col("first") - F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32)).cast("int"))
     owned = scratch.table(grouped.groupBy("doc_id").agg(F.collect_list("at").alias("owned")), "owned")  # at most a document's windows
     cut = scratch.table(pieces(texts.join(owned, "doc_id", "left").select("doc_id", "text", "segs", "owned"), window), "pieces")
+    scratch.drop("texts", "owned")
     total = cut.where("NOT own").count()
     shards = max(1, -(-total // SHARD))
     keyed = cut.withColumn("shard", F.pmod("mu", F.lit(shards)))
@@ -231,7 +232,9 @@ def repeated(texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         types = {"c1": pa.int64(), "c2": pa.int64(), "at": pa.int32(), "size": pa.int32(), "owner": pa.int64()}
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns)})
 
-    return scratch.table(dealt.groupBy("shard", "salt").applyInArrow(work, "c1 long, c2 long, at int, size int, owner long"), "runs")
+    runs = scratch.table(dealt.groupBy("shard", "salt").applyInArrow(work, "c1 long, c2 long, at int, size int, owner long"), "runs")
+    scratch.drop("pieces", "loads")
+    return runs
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -255,13 +258,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segs = known.where(F.size("segs") > 0).select("doc_id", F.explode("segs").alias("s")).select("doc_id", "s.*")
     shared = scratch.table(segs.groupBy("mu").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("mu"), "shared")
     segs = scratch.table(segs.join(shared, "mu").distinct().join(copies, "doc_id", "left_anti"), "segs")
+    seen = scratch.table(seen.select("doc_id", "n_words", "sha"), "names")
+    scratch.drop("scan", "unsure", "classes", "shared")
     groups = segs.groupBy("mu", "c1", "c2", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("most"))
     listed = groups.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("mu", F.col("first.start").alias("start"), "n", "c1", "c2", "most")).alias("segs"))  # at most a document's segments
     listed = scratch.table(listed, "listed")
     texts = scratch.table(rows.join(listed, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "segs"), "texts")
+    scratch.drop("listed")
     found = repeated(texts, window, scratch)
     runs = segs.join(found, ["c1", "c2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), F.col("size").alias("n"))).alias("runs"))  # at most a document's windows
     runs = scratch.table(runs, "gone-runs")
+    scratch.drop("segs", "runs")
 
     def cut(batches):
         import pyarrow as pa
@@ -283,6 +290,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty = hashlib.sha256(b"").hexdigest()
     gone = copies.select("doc_id", F.lit(None).cast("long").alias("removed"), F.lit(empty).alias("cut_sha")).unionByName(done)
     gone = scratch.table(gone, "gone")
+    scratch.drop("copies", "gone-runs")
     out = seen.select("doc_id", "n_words", "sha").join(gone, "doc_id", "left")
     n = F.when(F.col("cut_sha").isNull(), F.lit(0)).otherwise(F.coalesce("removed", "n_words")).cast("long")
     return out.select("doc_id", "n_words", n.alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
