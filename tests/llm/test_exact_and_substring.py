@@ -99,3 +99,12 @@ def test_substring_drops_tables_once_read(docs, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs([(1, text), (2, text + " end")])).collect()}
     assert got == {1: 0, 2: 60} and {"scan", "segs", "texts", "pieces"} <= set(gone)
+
+
+def test_shards_leave_out_what_cannot_meet():
+    words = [f"w{i}" for i in range(120)]
+    text = lambda a, n: " ".join(words[a : a + n])
+    rows = [(7, True, 1, 1, 3, text(0, 60)), (7, False, 2, 2, 9, text(5, 52)), (8, False, 3, 3, 9, text(60, 55)), (9, True, 4, 4, 3, text(60, 50))]
+    own, queries = substring_dedup.meeting(rows)
+    assert [x[:3] for x in own] == [(1, 1, 3)] and [x[:3] for x in queries] == [(2, 2, 9)]
+    assert substring_dedup.search_shard(own, queries, 50) == [(2, 2, 0, 3, 3)]

@@ -1,29 +1,10 @@
-"""A compressed FM-index over sequences of words, searched by many queries in lockstep."""
+"""An FM-index over sequences of words, searched by many queries in lockstep."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-class Bits:
-    """A bit vector in 64-bit words with counts of ones before each word."""
-
-    def __init__(self, bits: np.ndarray):
-        n = len(bits)
-        padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-        padded[:n] = bits
-        self.words = np.packbits(padded, bitorder="little").view("<u8")
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(ones)[:-1]])
-        self.zeros = n - int(ones.sum())
-
-    def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones before each position."""
-        w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """By prefix doubling; ``text`` ends with a symbol smaller than all others."""
     n = len(text)
@@ -54,28 +35,14 @@ class FMIndex:
         owner = np.concatenate([*owner, [0]]).astype(np.int64)
         sa = suffix_array(text)
         self.n, self.text, self.owner, self.sa = len(text), text, owner, sa
-        bwt = text[sa - 1]
-        sigma = n_words + 2
-        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.levels = max(1, (sigma - 1).bit_length())
-        self.tree, now, begin = [], bwt, np.zeros(sigma, np.int64)
-        symbols = np.arange(sigma)
-        for level in range(self.levels - 1, -1, -1):  # wavelet matrix: zeros of each level go first
-            bit = (now >> level) & 1
-            b = Bits(bit)
-            self.tree.append(b)
-            ones = b.rank(begin)
-            begin = np.where((symbols >> level) & 1, b.zeros + ones, begin - ones)
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
-        self.base = first[:sigma] - begin
+        if (n_words + 2) * (self.n + 1) >= 1 << 63:
+            raise ValueError("too many words for one index")
+        self.rows = np.sort(text[sa - 1] * (self.n + 1) + np.arange(self.n))  # the BWT's rows by their word
 
     def step(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Backward search: rows before ``i`` that ``c`` precedes, as positions in the first column."""
-        s = c + 2
-        for k, b in enumerate(self.tree):
-            ones = b.rank(i)
-            i = np.where((s >> (self.levels - 1 - k)) & 1, b.zeros + ones, i - ones)
-        return self.base[s] + i
+        """Backward search: rows before ``i`` that ``c`` precedes, as positions in the first column. Words that are less come before
+        them in both, so the place among the sorted rows is that position."""
+        return np.searchsorted(self.rows, (c + 2) * (self.n + 1) + i)
 
     def matches(self, words: np.ndarray, start: np.ndarray, length: np.ndarray, least: int):
         """(query, position, sequence) for every run of ``least`` words of a query that the index holds.

@@ -9,8 +9,8 @@
    documents hold is indexed once.
 3. Shards: owners' windows and the classes to search go to the shard of their minimizer. Shards with
    many classes are split over salts, each with a copy of the shard's index.
-4. Search: a shard builds an FM-index (BWT in a wavelet matrix) of its owners' passages and streams its
-   classes through backward search. Matching statistics of ``WINDOW`` or more are reported with their
+4. Search: a shard builds an FM-index (the BWT as sorted rows of each word) of its owners' passages and streams
+   its classes through backward search, but for those whose minimizer no owned window has. Matching statistics of ``WINDOW`` or more are reported with their
    owner, and each segment of the class loses the windows whose owner is smaller than its document. The search
    compares words themselves; hashes choose what is indexed and where. (The 64-bit window hash
    could at worst hide a window that collides with another.)
@@ -185,6 +185,14 @@ def pieces(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(work, "mu long, own boolean, c1 long, c2 long, doc_id long, words string")
 
 
+def meeting(rows) -> tuple[list, list]:
+    """What a shard indexes and what it searches, as (c1, c2, doc, words). ``rows``: mu, own, c1, c2, doc, words. Equal windows have equal
+    minimizers, so what has a minimizer that the other side lacks can't match and is left out."""
+    rows = list(rows)
+    both = {r[0] for r in rows if r[1]} & {r[0] for r in rows if not r[1]}
+    return [r[2:] for r in rows if r[1] and r[0] in both], [r[2:] for r in rows if not r[1] and r[0] in both]
+
+
 def search_shard(own: list, queries: list, window: int) -> list[tuple[int, int, int, int, int]]:
     """(c1, c2, first window, windows, owner) of runs with one owner. ``own``, ``queries``: (c1, c2, doc, words)."""
     names: dict[str, int] = {}
@@ -220,13 +228,12 @@ def repeated(texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     keyed = cut.withColumn("shard", F.pmod("mu", F.lit(shards)))
     loads = scratch.table(keyed.where("NOT own").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("salts")), "loads")
     salt = F.when(F.col("own"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c1", "c2"), F.col("salts")).cast("int")))
-    dealt = keyed.join(loads, "shard").select("shard", F.explode(salt).alias("salt"), "own", "c1", "c2", "doc_id", "words")
+    dealt = keyed.join(loads, "shard").select("shard", F.explode(salt).alias("salt"), "mu", "own", "c1", "c2", "doc_id", "words")
 
     def work(tables):
         import pyarrow as pa
 
-        rows = list(zip(*(tables.column(n).to_pylist() for n in ("own", "c1", "c2", "doc_id", "words"))))
-        own, queries = [r[1:] for r in rows if r[0]], [r[1:] for r in rows if not r[0]]
+        own, queries = meeting(zip(*(tables.column(n).to_pylist() for n in ("mu", "own", "c1", "c2", "doc_id", "words"))))
         found = search_shard(own, queries, window) if own and queries else []
         columns = list(zip(*found)) or [[]] * 5
         types = {"c1": pa.int64(), "c2": pa.int64(), "at": pa.int32(), "size": pa.int32(), "owner": pa.int64()}
