@@ -436,3 +436,20 @@ def test_what_leaves_a_square_is_no_more_than_its_members(spark, monkeypatch):
     assert len(found) == n - 1 and {i for p in found for i in p} == set(range(n))
     near = [(r.a, r.b) for r in buckets.crossed(members, extra, payload, every, every, lambda x, y: abs(int(x) - int(y)) == 30).collect()]
     assert sorted(near) == [(i, i + 30) for i in range(30)]
+
+
+def test_squares_in_turns_give_the_same_links(spark, monkeypatch):
+    """A turn deals a part of the copies of members, about ``_SENT`` of each, and no pair is lost between turns."""
+    monkeypatch.setattr(buckets, "_BLOCK", 16)
+    n = 150
+    frame = spark.createDataFrame([(k, k, i, 10, 0, 0) for k in (1, 2) for i in range(n) if k == 1 or i % 3 == 0], "key long, at int, id long, size int, sig int, pos int")
+    members = buckets.opened(frame.selectExpr("id", "id AS root", "key", "at", "size", "sig", "pos"), Scratch(spark, "opened"))
+    extra, payload = frame.selectExpr("id", "0 AS level", "CAST('x' AS BINARY) AS extra").distinct(), frame.selectExpr("id", "CAST(id AS STRING) AS data").distinct()
+    every, tables = lambda x, y: np.ones(len(x["id"]), bool), []
+    put = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, codec=None: tables.append(put(self, df, name, codec)) or tables[-1])
+    found = [(r.a, r.b) for r in buckets.crossed(members, extra, payload, every, every, lambda x, y: abs(int(x) - int(y)) == 50, Scratch(spark, "turns")).collect()]
+    assert sorted(found) == [(i, i + 50) for i in range(n - 50)]
+    parts = [sorted((r.a, r.b) for r in t.collect()) for t in tables if t.columns == ["a", "b"]]
+    assert len(parts) == buckets.turns(members) >= 5 and sorted(p for t in parts for p in t) == sorted(found)
+    assert max(map(len, parts)) < len(found) / 2
