@@ -345,3 +345,21 @@ def test_dense_squares_are_dealt(spark):
                 near = sorted((b for b in vec if int(b) % 2 != back), key=lambda b: (-round(sum(x * y for x, y in zip(vec[a], vec[b])), 6), b))[:3]
                 want |= {(b, a) if back else (a, b) for b in near}
         assert got == want
+
+
+def test_topk_by_name_counts_frequent_grams(spark, tmp_path, monkeypatch):
+    """Every gram counts, however many records have it; records of equal names are scored once, with the same rows."""
+    from weftline.plans import queries
+
+    monkeypatch.setattr(queries, "CAP", 1)
+    spark.range(0, 2002 * 3, 143).selectExpr("id AS c_custkey", "0 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")  # seven names
+    got = {(r.src, r.s1, r.cand): r.sim for r in queries.sparse_topk_name(spark, str(tmp_path)).collect()}
+    recs = queries.Biz(spark, str(tmp_path)).records()
+    posts = corpus.postings(recs, "name", None).cache()
+    same = blocking.alike(posts, lambda df, name: df.cache())
+    assert same.where("place = 1").count() < same.count() / 2
+    assert got == {(r.src, r.s1, r.cand): r.sim for r in blocking.forward(posts, 10).collect()}
+    name = {r.entity_id: r.name_core for r in recs.collect()}
+    assert {s for (_, a, b), s in got.items() if name[a] == name[b]} == {1.0}
+    back = [{(r.src, r.s1, r.cand, r.sim, r["rank"]) for r in blocking.reverse(posts, 3, 0.2, c).collect()} for c in (None, same)]
+    assert back[0] == back[1] and back[0]
