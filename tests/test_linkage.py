@@ -363,3 +363,12 @@ def test_topk_by_name_counts_frequent_grams(spark, tmp_path, monkeypatch):
     assert {s for (_, a, b), s in got.items() if name[a] == name[b]} == {1.0}
     back = [{(r.src, r.s1, r.cand, r.sim, r["rank"]) for r in blocking.reverse(posts, 3, 0.2, c).collect()} for c in (None, same)]
     assert back[0] == back[1] and back[0]
+
+
+def test_union_drops_no_candidate(spark, tmp_path):
+    """A key bucket of 51 S1 records, each with over 50 candidates: all meet, and all stay."""
+    from weftline.plans import queries
+
+    spark.range(51).selectExpr("1 + 990000 * id AS c_custkey", "0 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.candidate_union_cap(spark, str(tmp_path)).collect()
+    assert len(got) == 51 * 102 and all(r.f_zip == 1 for r in got)
