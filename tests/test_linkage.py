@@ -372,3 +372,12 @@ def test_union_drops_no_candidate(spark, tmp_path):
     spark.range(51).selectExpr("1 + 990000 * id AS c_custkey", "0 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = queries.candidate_union_cap(spark, str(tmp_path)).collect()
     assert len(got) == 51 * 102 and all(r.f_zip == 1 for r in got)
+
+
+def test_written_tables_release_the_drivers_memory(spark, tmp_path, monkeypatch):
+    from weftline.plans import linkage
+
+    said, release = [], linkage.release
+    monkeypatch.setattr(linkage, "release", lambda s: said.append(release(s)))
+    assert linkage.Workspace(spark, str(tmp_path)).keep(spark.range(3), "x").count() == 3
+    assert len(said) == 1 and said[0].startswith("Trim native heap")
